@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from hamloom.functions.bits import WORDS, with_words
-from hamloom.llm.tables import distinct_tags
+from hamloom.operators.store import distinct_tags
 from hamloom.session import materialise
 
 #: Codewords of a half are drawn from at most this many tags per codeword (hash order); the bound of the fit.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hamloom.llm.tables import manifest_once
+from hamloom.operators.store import manifest_once
 from hamloom.operators.skew import null_safe, ranked
 from hamloom.session import materialise, table
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hamloom.functions.bits import WORDS, differing_bytes, hamming, with_words, words_of
-from hamloom.llm.tables import distinct_tags, record_tags
+from hamloom.operators.store import distinct_tags, record_tags
 from hamloom.operators.components import connected_components
 from hamloom.operators.skew import lookup_unique
 from hamloom.session import materialise
