@@ -37,10 +37,15 @@ def normalised(c: Column | str) -> Column:
 
 
 def shingles(word_array: Column, size: int = 3, sep: str = "\x1f") -> Column:
-    """Runs of `size` consecutive words joined by sep; an empty array if there are fewer words."""
-    n = F.size(word_array)
-    at = F.sequence(F.lit(1), n - size + 1)
-    return F.when(n >= size, F.transform(at, lambda i: F.array_join(F.slice(word_array, i, size), sep))).otherwise(F.array().cast("array<string>"))
+    """Runs of `size` consecutive words joined by sep; an empty array if there are fewer words.
+
+    Shifted copies of the array are zipped, so the words are made `size` times, not once per run.
+    """
+    n = F.greatest(F.size(word_array) - (size - 1), F.lit(0))
+    out = F.slice(word_array, 1, n)
+    for k in range(1, size):
+        out = F.zip_with(out, F.slice(word_array, k + 1, n), lambda a, b: F.concat(a, F.lit(sep), b))
+    return out
 
 
 def trim_field(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -98,15 +99,9 @@ def challenges(events: DataFrame) -> DataFrame:
 
 
 def answer_challenges(events: DataFrame) -> DataFrame:
-    """The rows of challenges for a finished table of events."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        class Once:
-            exists, hasTimedOut = False, False
-
-            def update(self, _) -> None: ...
-            def setTimeoutDuration(self, _) -> None: ...
-
-        return pd.concat(list(_answer(key, iter([rows]), Once())))
-
-    return events.groupBy("token").applyInPandas(run, CHALLENGE_OUT)
+    """The rows of challenges for a finished table of events, by one aggregate and one window over each token's answers."""
+    issued = events.filter("kind = 'issue'").groupBy("token").agg(F.min(F.struct("at", "uid")).alias("i"))
+    rows = events.filter("kind = 'answer'").join(issued, "token", "left").withColumn("known", F.coalesce(F.col("i.at") <= F.col("at"), F.lit(False)))
+    turn = F.row_number().over(W.partitionBy("token", "known").orderBy("at"))
+    reason = F.when(~F.col("known"), "unknown").when(F.col("turn") > 1, "used").when(F.col("at") > F.col("i.at") + TTL, "expired").when(F.col("uid") != F.col("i.uid"), "another user").when(~F.col("valid"), "bad signature").otherwise("")
+    return rows.withColumn("turn", turn).withColumn("reason", reason).select("token", "uid", (F.col("reason") == "").alias("accepted"), "reason")
