@@ -36,7 +36,7 @@ def key_value(k: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return k
     bits = F.when(k >= 0, k).otherwise(k.bitwiseXOR(F.lit((1 << 63) - 1).cast("bigint")))
-    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    return F.when(k.isNotNull(), F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits)).cast("double")
 
 
 def _rank(q: str, n: Column) -> Column:
@@ -125,7 +125,7 @@ def select_ranks(rows: DataFrame, g: list[str], quantiles: list[str], digit_bits
                 on = at.alias("l").join(F.broadcast(paths).alias("r"), null_safe(at, paths, keys, "l", "r"), "left_semi")
             else:
                 at = at.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(SALTS)))
-                salted = paths.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+                salted = paths.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
                 on = at.alias("l").join(salted.alias("r"), null_safe(at, salted, [*keys, "_s"], "l", "r"), "left_semi")
             counted = on.withColumnRenamed("_d", "_p").withColumn("_d", nxt).groupBy(*g, "_p", "_d").agg(F.count(F.lit(1)).alias("_c"))
             by = W.partitionBy(*g, "_p")
@@ -137,8 +137,8 @@ def select_ranks(rows: DataFrame, g: list[str], quantiles: list[str], digit_bits
         targets = materialise(hit.filter(inside).select(*g, "_d", "n", "_i", (F.col("_r") - (F.col("_to") - F.col("_c"))).alias("_r")))
         shift -= step
         prefix = F.shiftright(F.col("_k"), shift)
-    value = key_value(F.col("_d"), kind)
-    return targets.groupBy(*g).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, value)).alias(c) for i, c in enumerate(names)])
+    wide = targets.groupBy(*g).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col("_d"))).alias(f"_v{i}") for i in range(len(names))])
+    return wide.select(*g, "n", *[key_value(F.col(f"_v{i}"), kind).alias(c) for i, c in enumerate(names)])
 
 
 def latencies(spark, sf_dir: str) -> DataFrame:
