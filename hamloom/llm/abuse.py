@@ -178,7 +178,7 @@ def _train(docs: list[tuple[int, list[str]]], rounds: int = 2) -> tuple[Counter,
             for w in parts:
                 lean = leaning(w)
                 s = excess(o, t, w)
-                if y and (lean > 0 or (lean == 0 and (s > 0.5 or (w.count(" ") >= NOVEL and o(w) > 0.5 * len(w))))):
+                if y and (lean > 0 or (lean == 0 and seen[w][1] > 2 * seen[w][0] and (s > 0.5 or (w.count(" ") >= NOVEL and o(w) > 0.5 * len(w))))):
                     keep_t.add(w)
                 if not y and lean <= 0 and (lean < 0 or s < 1.0):
                     keep_o.add(w)
