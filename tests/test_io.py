@@ -115,3 +115,24 @@ def test_challenges(spark, tmp_path):
             break
     q.stop()
     assert sorted((r["token"], r["reason"]) for r in spark.table("answers").collect()) == WANT
+
+
+def test_command_line(spark, tmp_path):
+    from hamloom.__main__ import main
+
+    r = write(tmp_path / "r.csv", f"id,type,tag_hex\nr1,text,{'0' * 64}\nr2,text,{'0' * 63}f\nr3,image,{'f' * 64}\n")
+    q = write(tmp_path / "q.csv", f"id,type,tag_hex\nq1,text,{'0' * 63}1\nq2,video,{'0' * 64}\n")
+    assert main(["lookup", "--records", r, "--queries", q, "--out", str(tmp_path / "o"), "--verify"]) == 0
+    got = {(x["strategy"], x["query_id"]): int(x["candidate_count"]) for x in spark.read.csv(str(tmp_path / "o"), header=True).collect()}
+    assert got == {(s, i): n for s in ("scan", "exact", "prefuzz") for i, n in (("q1", 2), ("q2", 0))}
+    assert main(["compare", "--records", r, "--queries", q, "--out", str(tmp_path / "c"), "--thresholds", "1,6"]) == 0
+    rows = {(x["scheme"], x["threshold"], x["query_id"]): (x["matched"], x["best_distance"]) for x in spark.read.csv(str(tmp_path / "c"), header=True).collect()}
+    assert rows["global_min", "1", "q1"] == ("1", "1") and rows["first_match", "6", "q2"] == ("1", "0") and len(rows) == 8
+    assert main(["lookup", "--records", r, "--queries", q, "--out", str(tmp_path / "x"), "--strategies", "none"]) == 1
+    for i, t in enumerate(("one two three four", "One, two three four!", "something else in here")):
+        (tmp_path / f"{i}.txt").write_text(t)
+    u = write(tmp_path / "u.csv", "uid,type,path\n" + "".join(f"u,text,{tmp_path}/{i}.txt\n" for i in range(3)))
+    from hamloom.__main__ import bulk_upload
+
+    assert bulk_upload(spark, u, str(tmp_path / "s")) == {"processed": 3, "stored": 2, "reused": 1}
+    assert bulk_upload(spark, u, str(tmp_path / "s"))["stored"] == 0
