@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hamloom.operators.store import manifest_once
 from hamloom.operators.skew import null_safe, ranked
@@ -51,11 +52,10 @@ def seats(available: list[int], target: list[float], floor: list[int], total: in
     return out
 
 
-def _allocate(rows: pd.DataFrame) -> pd.DataFrame:
-    """The seats of one group; it has one row per category."""
-    rows = rows.sort_values("category", kind="stable")
-    rows["drawn"] = seats(rows["available"].tolist(), rows["target"].tolist(), rows["floor"].tolist(), int(rows["total"].iloc[0]))
-    return rows
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _allocate(available: pd.Series, target: pd.Series, floor: pd.Series, total: pd.Series) -> pd.Series:
+    """The seats of each group from lists with one entry per category."""
+    return pd.Series([seats(list(map(int, a)), list(map(float, t)), list(map(int, f)), int(n)) for a, t, f, n in zip(available, target, floor, total, strict=True)])
 
 
 def proportional_sample(records: DataFrame, targets: DataFrame, seed: str = "0") -> tuple[DataFrame, DataFrame]:
@@ -76,7 +76,11 @@ def proportional_sample(records: DataFrame, targets: DataFrame, seed: str = "0")
     plan = at.alias("l").join(counts.alias("r"), null_safe(at, counts, ["grp", "category"], "l", "r"), "left").select("l.*", F.coalesce("r.available", F.lit(0)).cast("bigint").alias("available"))
     totals = at.groupBy("grp").agg(F.sum(F.ceil(need)).cast("bigint").alias("total"))
     plan = plan.alias("l").join(totals.alias("r"), F.col("l.grp").eqNullSafe(F.col("r.grp"))).select("l.*", "r.total")
-    plan = plan.groupBy("grp").applyInPandas(_allocate, plan.withColumn("drawn", F.lit(0).cast("bigint")).schema)
+    # a list per group with one entry per category, so that many groups share an Arrow batch
+    cols = ["category", "available", "target", "floor", "seed"]
+    lists = plan.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c"), F.max("total").alias("total"))
+    lists = lists.withColumn("drawn", _allocate("c.available", "c.target", "c.floor", "total"))
+    plan = lists.select("grp", F.explode(F.arrays_zip("c", "drawn")).alias("z")).select("grp", "z.c.*", "z.drawn")
     plan = materialise(plan)  # one row per group and category
     report = plan.withColumn("short", F.col("available") < need).select("grp", "category", "available", "target", "floor", "drawn", "short")
     drawn = plan.filter("drawn > 0").select("grp", "category", "drawn", "seed")
