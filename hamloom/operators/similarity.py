@@ -15,7 +15,8 @@ SIZE, MAX_DF, RAREST = 5, 40, 12
 def shingle_rows(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(doc, h): one row per document and distinct run of five words, h being the MD5 of the run."""
     runs = shingles(words(text), SIZE, " ")
-    return docs.select(F.col(ident).alias("doc"), F.explode(F.array_distinct(runs)).alias("run")).select("doc", F.md5(F.col("run").cast("binary")).alias("h"))
+    # repeated runs of a document are in one task and combined there, before the shuffle
+    return docs.select(F.col(ident).alias("doc"), F.explode(runs).alias("run")).select("doc", F.md5(F.col("run").cast("binary")).alias("h")).distinct()
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
