@@ -21,6 +21,8 @@ SAMPLE_PER_CODEWORD = 4
 MAX_CODEWORDS = 1024
 #: A query visits at least PROBES x codewords of the codewords^2 cells of its type.
 PROBES = 4
+#: Share of the true neighbours of a sample of queries that the visited cells must hold, and the sample's size per type.
+RECALL, SAMPLE_QUERIES = 0.97, 512
 #: Tags of one region, the unit in which the index is searched; and queries that are searched in a region at once.
 REGION = 32_768
 QUERY_BLOCK = 262_144
@@ -83,6 +85,17 @@ def reach(d1: np.ndarray, d2: np.ndarray, cells: int) -> np.ndarray:
     return out
 
 
+def cells_before(d1: np.ndarray, d2: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """How many centroid pairs of each row have a summed distance below s."""
+    upto = np.zeros((len(d2), 129), np.int64)
+    row = np.arange(len(d2))
+    for j in range(d2.shape[1]):
+        np.add.at(upto, (row, d2[:, j]), 1)
+    upto = np.cumsum(upto, 1)
+    left = s[:, None].astype(np.int32) - 1 - d1
+    return np.where(left >= 0, np.take_along_axis(upto, np.clip(left, 0, 128), 1), 0).sum(1)
+
+
 def _words(df: pd.DataFrame) -> np.ndarray:
     return np.stack([df[w].to_numpy(np.int64).view(np.uint64) for w in WORDS], 1)
 
@@ -109,6 +122,55 @@ def _fit(tags: DataFrame, sizes: dict[str, int]) -> dict[str, Codebook]:
     return out
 
 
+def _cells(tags: DataFrame, sizes: dict[str, int], books: dict[str, Codebook], k: int, radius: int, probes: int) -> dict[str, int]:
+    """Per type, how many cells a query visits: at least probes x codewords, and as many as hold the share RECALL of the true
+    k nearest within radius of SAMPLE_QUERIES tags, which are found by comparing these with all tags.
+
+    A pair counts as held if either end visits the other. Types whose cells are all visited anyway aren't sampled.
+    """
+    out = {t: probes * book.k for t, book in books.items()}
+    open_ = {t: n for t, n in sizes.items() if out[t] < len(books[t].first) * len(books[t].second)}
+    if not open_:
+        return out
+    # another hash than that of the codewords, which are nearer to their cells than other tags
+    h = F.xxhash64(F.lit(11), "tag")
+    share = F.create_map(*[x for t, n in open_.items() for x in (F.lit(t), F.lit(min(1.0, (8.0 * SAMPLE_QUERIES + 1024) / n)))])
+    some = tags.filter(F.col("type").isin(*open_)).withColumn("_h", h).filter(F.pmod(F.col("_h"), F.lit(1 << 20)) <= share[F.col("type")] * (1 << 20))
+    best = some.withColumn("_r", F.row_number().over(W.partitionBy("type").orderBy("_h", "tag"))).filter(F.col("_r") <= SAMPLE_QUERIES)
+    asked = {t: _words(part) for t, part in best.select("type", *WORDS).toPandas().groupby("type", sort=False)}
+    sent = tags.sparkSession.sparkContext.broadcast(asked)  # at most SAMPLE_QUERIES x 32 bytes per type
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for t, part in df.groupby("type", sort=False):
+                if t not in sent.value:
+                    continue
+                q, w = sent.value[t], _words(part)
+                d = np.zeros((len(q), len(w)), np.int16)
+                for j in range(4):
+                    d += np.bitwise_count(q[:, j][:, None] ^ w[:, j][None, :])
+                d[d == 0] = 512
+                limit = np.partition(d, k - 1, 1)[:, k - 1] if len(w) > k else np.full(len(q), 256)
+                x, y = np.nonzero(d <= np.minimum(limit, radius)[:, None])
+                found = part.iloc[y][["type", "tag", *WORDS]].copy()
+                found["q"], found["distance"] = x.astype(np.int32), d[x, y].astype(np.int32)
+                yield found
+
+    words = ", ".join(f"{w} bigint" for w in WORDS)
+    near = tags.select("type", "tag", *WORDS).mapInPandas(compare, f"type string, tag string, {words}, q int, distance int")
+    rank = F.row_number().over(W.partitionBy("type", "q").orderBy("distance", "tag"))
+    truth = near.withColumn("_r", rank).filter(F.col("_r") <= k).select("type", "q", *WORDS).toPandas()
+    for t, part in truth.groupby("type", sort=False):
+        book, ends = books[t], (asked[t][part["q"].to_numpy()], _words(part))
+        d = [(half_distances(w[:, :2], book.first), half_distances(w[:, 2:], book.second)) for w in ends]
+        row, needed = np.arange(len(part)), []
+        for (d1, d2), (e1, e2) in ((d[0], d[1]), (d[1], d[0])):
+            needed.append(cells_before(d1, d2, d1[row, e1.argmin(1)].astype(np.int32) + d2[row, e2.argmin(1)]) + 1)
+        at = np.sort(np.minimum(*needed))
+        out[t] = max(out[t], int(at[int(np.ceil(RECALL * len(at))) - 1]))
+    return out
+
+
 def _regions(counts: pd.DataFrame) -> dict[str, list[list[int]]]:
     """Per type, the regions of every first codeword: neighbours in number share a region, a large one is cut in parts."""
     out: dict[str, list[list[int]]] = {}
@@ -155,6 +217,7 @@ def search_block(items: np.ndarray, item_cells: np.ndarray, queries: np.ndarray,
         return rank
 
     orders = order_of(items), order_of(queries)
+    by_word = [np.ascontiguousarray(queries[:, w]) for w in range(4)]
     bound = np.full(len(queries), radius, np.int16), np.full(len(items), radius, np.int16)
 
     def squeeze() -> None:
@@ -179,16 +242,19 @@ def search_block(items: np.ndarray, item_cells: np.ndarray, queries: np.ndarray,
         q = near[rows2[c2] <= slack]
         if not len(q):
             continue
-        for part in range(lo, hi, 512):
-            i = by_cell[part : min(hi, part + 512)]
+        for part in range(lo, hi, 64):
+            i = by_cell[part : min(hi, part + 64)]
             for at in range(0, len(q), 8192):
                 qq = q[at : at + 8192]
-                d = np.bitwise_count(queries[qq, 0][:, None] ^ items[i, 0][None, :]).astype(np.int16)
+                d = np.bitwise_count(items[i, 0][:, None] ^ by_word[0][qq][None, :]).astype(np.int16)
                 for w in (1, 2, 3):
-                    d += np.bitwise_count(queries[qq, w][:, None] ^ items[i, w][None, :])
-                x, y = np.nonzero((d <= bound[0][qq][:, None]) | (d <= bound[1][i][None, :]))
+                    d += np.bitwise_count(items[i, w][:, None] ^ by_word[w][qq][None, :])
+                if at == 0 and len(qq) > k:
+                    # k queries besides the item itself are no farther than the k + 1st distance
+                    bound[1][i] = np.minimum(bound[1][i], np.partition(d, k, 1)[:, k])
+                y, x = np.nonzero((d <= bound[0][qq][None, :]) | (d <= bound[1][i][:, None]))
                 if len(x):
-                    dd = d[x, y]
+                    dd = d[y, x]
                     same = dd == 0
                     if same.any():
                         x, y, dd = x[~same], y[~same], dd[~same]
@@ -209,8 +275,8 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
     Equal distances are ranked in order of the digits. A tag without another within radius gives no row.
 
     Method: inverted multi-index. Either 128-bit half is quantised to its nearest codeword; a tag lies in the cell of
-    its two codewords. A query visits cells by summed distance until it has seen probes x codewords of them, and the
-    tags of visited cells are ranked by full distance. As all tags are also queries, a pair counts for both ends
+    its two codewords. A query visits cells by summed distance until it has seen probes x codewords of them, or as many as
+    the recall RECALL takes on a sample of queries (see _cells), and the tags of visited cells are ranked by full distance. As all tags are also queries, a pair counts for both ends
     whichever of them visits the other. The fit uses a bounded sample (SAMPLE_PER_CODEWORD per codeword), all tags are
     indexed. Cells are kept in regions of at most REGION tags (a crowded codeword is cut into several), queries are
     sent once to each region that they visit, in blocks of about QUERY_BLOCK, so a task holds a region and a block
@@ -222,7 +288,9 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
     schema = T.StructType([T.StructField("type", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("near", T.StringType()), T.StructField("distance", T.IntegerType()), T.StructField("rank", T.IntegerType())])
     if not sizes:
         return spark.createDataFrame([], schema)
-    books = spark.sparkContext.broadcast(_fit(rows, sizes))  # at most MAX_CODEWORDS x 32 bytes per type
+    fitted = _fit(rows, sizes)
+    books = spark.sparkContext.broadcast(fitted)  # at most MAX_CODEWORDS x 32 bytes per type
+    cells = _cells(rows, sizes, fitted, k, radius, probes)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -230,7 +298,7 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
                 book, w = books.value[t], _words(part)
                 for at in range(0, len(part), 16384):
                     d1, d2 = half_distances(w[at : at + 16384, :2], book.first), half_distances(w[at : at + 16384, 2:], book.second)
-                    far = reach(d1, d2, probes * book.k)
+                    far = reach(d1, d2, cells[t])
                     out = part.iloc[at : at + 16384][["type", *WORDS]].copy()
                     out["c1"], out["c2"], out["far"] = d1.argmin(1).astype(np.int32), d2.argmin(1).astype(np.int32), far
                     out["slack"] = far - d2.min(1)
@@ -300,7 +368,7 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
 
 
 def p2_neighbours(spark, sf_dir: str, k: int = 5) -> DataFrame:
-    """The five nearest tags of every tag."""
+    """The five nearest tags of every tag, at whatever distance."""
     return nearest_tags(distinct_tags(spark, sf_dir).select("type", "tag"), k)
 
 

@@ -111,6 +111,21 @@ def test_crowded_codewords(spark, monkeypatch):
     assert len(got & truth(rows, 2, 256)) >= 0.9 * len(rows) * 2
 
 
+def test_far_neighbours_are_found(spark):
+    rng = random.Random(12)
+    rows = [("t", f"{rng.getrandbits(256):064x}") for _ in range(3000)] + [("u", f"{i:064x}") for i in range(3)]
+    got = {(r["type"], r["tag"], r["near"], r["distance"]) for r in neighbours.nearest_tags(spark.createDataFrame(rows, "type string, tag string"), 5).collect()}
+    asked = rows[:300:3]
+    x = np.array([[int(t[i : i + 16], 16) for i in range(0, 64, 16)] for _, t in rows[:3000]], np.uint64)
+    want = set()
+    for at in range(0, 300, 3):
+        d = np.bitwise_count(x ^ x[at]).sum(1).astype(int)
+        near = sorted((d[j], rows[j][1]) for j in range(3000) if j != at)[:5]
+        want |= {("t", rows[at][1], t, n) for n, t in near}
+    assert len(want) == 5 * len(asked) and len(got & want) >= 0.9 * len(want)
+    assert {r for r in got if r[0] == "u"} == truth(rows[3000:], 5, 256)
+
+
 def test_reach_counts_cells():
     rng = np.random.default_rng(0)
     d1, d2 = rng.integers(30, 90, (50, 8)).astype(np.int16), rng.integers(30, 90, (50, 8)).astype(np.int16)
