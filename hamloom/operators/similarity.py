@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hamloom.functions.text import shingles, words
+from hamloom.session import materialise
 
 #: A shingle is rare if at least 2 and at most MAX_DF documents have it; a document proposes by its RAREST rarest ones.
 SIZE, MAX_DF, RAREST = 5, 40, 12
@@ -22,6 +23,8 @@ def shingle_rows(docs: DataFrame, ident: str, text: str) -> DataFrame:
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b), a < b: documents of which one has the other in the list of one of its rarest shared shingles.
 
+    This is the reference's rule, which doesn't find all: families of over MAX_DF members give no pair. similar_pairs does.
+
     Lists hold at most MAX_DF documents, so the join gives at most RAREST x MAX_DF pairs per document.
     """
     df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(2, MAX_DF))
@@ -32,6 +35,38 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def distinct_texts(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((doc, copies, text), (doc, digest)): every distinct text under its smallest document, and the digests of all documents."""
+    digests = docs.select(F.col(ident).alias("doc"), F.col(text).alias("text"), F.sha2(text, 256).alias("digest"))
+    once = digests.groupBy("digest").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    return once.select("doc", "copies", "text"), digests.select("doc", "digest")
+
+
+def similar_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """(a, b, shared, jaccard), a < b: all pairs with a Jaccard similarity of at least `least`, however frequent their shingles.
+
+    Exact prefix filter: with all shingles in one order, rare ones first, the first shingle that two such documents share is
+    among the first n - ceil(least x n) + 1 of either's n. The smaller has at least `least` times the larger's number, and
+    from the first shared one on there must be enough left in both for the needed overlap. Only prefixes are joined, their
+    hottest shingles last in order; the pairs that pass are verified by counting.
+    """
+    df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # a shingle of one document joins nothing but keeps its place, which comes first
+    common = rows.join(df.filter("df > 1"), "h")
+    sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    kept = common.groupBy("doc").agg(F.count(F.lit(1)).alias("m"))
+    place = F.row_number().over(W.partitionBy("doc").orderBy("df", "h"))
+    at = common.withColumn("r", place).join(sizes.join(kept, "doc"), "doc").withColumn("p", F.col("n") - F.col("m") + F.col("r"))
+    prefix = materialise(at.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select("h", "doc", "n", "p"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least) - F.lit(1e-9)
+    left = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) + 1
+    enough = left >= (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - F.lit(1e-9)
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & near & enough)
+    pairs = materialise(met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
+    return jaccard(pairs, rows).filter(F.col("jaccard") >= least)
+
+
 def jaccard(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, shared, jaccard) of pairs: shared runs over all runs; 0 if either has none. Counted by joins, without sets in memory."""
     sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))

@@ -286,6 +286,7 @@ def _shingled(spark, sf):
 
 
 def shingle_candidates(spark, sf):
+    """Candidates by the reference's rule of rare shingles; the four queries that use it report that rule, similar_texts all pairs."""
     return similarity.candidate_pairs(_shingled(spark, sf)[1])
 
 
@@ -310,6 +311,28 @@ def doc_classes(spark, sf):
     return similarity.document_classes(*_classed(spark, sf)).groupBy("class").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _similar_texts(spark, sf):
+    """Classed pairs of distinct texts by the smallest documents that have them, the texts' copies, and all digests."""
+    once, digests = similarity.distinct_texts(documents(spark, sf), "doc_id", "text")
+    once, digests = materialise(once), materialise(digests)
+    runs = similarity.shingle_rows(once, "doc", "text").select("doc", F.xxhash64("h").alias("h"))
+    return materialise(similarity.similar_pairs(materialise(runs))), once.select("doc", "copies"), digests
+
+
+def similar_texts(spark, sf):
+    """All pairs of different texts with a similarity of 0.5 or more, by their smallest documents, with the copies of either."""
+    pairs, copies, _ = _similar_texts(spark, sf)
+    at = pairs.join(copies.select(F.col("doc").alias("a"), F.col("copies").alias("copies_a")), "a").join(copies.select(F.col("doc").alias("b"), F.col("copies").alias("copies_b")), "b")
+    return at.select("a", "b", "copies_a", "copies_b", "shared", F.round("jaccard", 9).alias("jaccard"))
+
+
+def similar_doc_classes(spark, sf):
+    """Documents by class, as doc_classes, but by all similar pairs: a text of several documents is an exact body anyway."""
+    pairs, _, digests = _similar_texts(spark, sf)
+    classed = pairs.withColumn("class", F.lit("possible_similar"))
+    return similarity.document_classes(classed, digests).groupBy("class").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def _uploads(spark, sf):
     d = documents(spark, sf)
     return materialise(d.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.lit("text").alias("type"), text_tag("text").alias("tag"), text_tag("text", RECOVERY_DOMAIN).alias("recovery"), "mailbox"))
@@ -459,7 +482,7 @@ NAMES: tuple[Callable[..., DataFrame], ...] = (
     radius_scan, radius_exact, radius_candidates, typed_thresholds, boundary_flips, strategy_equivalence, radius_counters, global_min, first_match,
     cross_scheme_agreement, filter_membership, filter_bytes, exact_duplicates, duplicate_distribution, duplicate_buckets_by_role, exact_ref_labels,
     reference_split, largest_remainder, stratified_sample, summary_grouping_sets, percentile_variants, tail_summary, query_analysis, scale_comparison,
-    workload_agreement, shingle_candidates, jaccard_classes, similarity_statistics, doc_classes, greedy_dedup, user_refs, upload_counts, policy_containment,
+    workload_agreement, shingle_candidates, jaccard_classes, similarity_statistics, doc_classes, similar_texts, similar_doc_classes, greedy_dedup, user_refs, upload_counts, policy_containment,
     threshold_lookup, manifest_integrity, split_integrity, metadata_lines, index_signature, fuzzy_recovery, ownership_round_trip, challenge_answers,
     sampled_proof, aead_round_trip, image_tags,
 )

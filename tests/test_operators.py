@@ -207,6 +207,23 @@ def test_similarity(spark):
     assert kinds == {1: "exact_body_exists", 2: "possible_similar", 3: "exact_body_exists", 4: "none", 6: "none"}
 
 
+def test_similar_pairs_of_large_families(spark):
+    rng = random.Random(3)
+    body = [f"w{i}" for i in range(60)]
+    texts = [" ".join(body[:k] + [f"x{i}"] + body[k + 1 :]) for i, k in enumerate(rng.choices(range(60), k=50))]
+    texts += [" ".join(rng.choices(body, k=rng.choice([5, 8, 40]))) for _ in range(20)] + [" ".join(body[:40] + [f"y{j}" for j in range(n)]) for n in (5, 15, 36, 37, 60)] + ["a b", ""]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    once, digests = similarity.distinct_texts(docs, "doc_id", "text")
+    assert digests.count() == len(texts) + 1 and {r["doc"]: r["copies"] for r in once.collect()}[0] == 2
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b]}
+    rows = similarity.shingle_rows(once, "doc", "text")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.similar_pairs(rows).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5}) and len(got) >= 50 * 49 // 2
+    found = {tuple(r) for r in similarity.candidate_pairs(rows).collect()}
+    assert not {(a, b) for a in range(50) for b in range(a + 1, 50)} <= found
+
+
 def test_greedy_reuse(spark):
     rng = random.Random(11)
     tags = [f"{rng.getrandbits(256):064x}" for _ in range(4)]
