@@ -108,6 +108,17 @@ def mix(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS)
     return slots, report
 
 
+def reading_order(slots: DataFrame, parts: DataFrame) -> DataFrame:
+    """(mix_id, slot, source, repeat, doc_id, first, tokens): the pieces of documents that every slot of mix() reads.
+
+    parts are the blocks() of the same sizes and block length. The join's key holds the block, of which a source has as many
+    as its size asks for, so a source with many rows is spread over all tasks.
+    """
+    at = slots.select("mix_id", "slot", "source", "block", "repeat")
+    met = at.alias("l").join(parts.alias("r"), null_safe(at, parts, ["source", "block"], "l", "r"))
+    return met.select("l.mix_id", "l.slot", "l.source", "l.repeat", "r.doc_id", "r.first", "r.tokens")
+
+
 def _plan(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
     """The targets with the sizes of their sources and failed, a written table of as many rows; and the size of all documents."""
     per = materialise(sizes.groupBy("source").agg(F.sum("tokens").alias("size")))
@@ -127,6 +138,12 @@ def p8_schedule(spark, sf_dir: str) -> DataFrame:
     return mix(*_inputs(spark, sf_dir))[0]
 
 
+def p8_blocks(spark, sf_dir: str) -> DataFrame:
+    """The pieces of documents of every mix in reading order."""
+    sizes, targets = _inputs(spark, sf_dir)
+    return reading_order(mix(sizes, targets)[0], blocks(sizes))
+
+
 def p8_shares(spark, sf_dir: str) -> DataFrame:
     """Target and actual shares of every mix and source."""
     return mix(*_inputs(spark, sf_dir))[1].withColumn("share", F.round("share", 6)).withColumn("target_tokens", F.round("target_tokens", 3))

@@ -69,6 +69,7 @@ def queries() -> dict:
         "p8_found": mixture.p8_found,
         "p8_shares": mixture.p8_shares,
         "p8_schedule": mixture.p8_schedule,
+        "p8_blocks": mixture.p8_blocks,
         "p9_found": abuse.p9_found,
         "p9_rates": abuse.p9_rates,
         "p9_scores": abuse.p9_scores,

@@ -298,6 +298,25 @@ def test_mixture(spark):
     assert mixture.mix(sizes, targets.limit(0), 64)[1].count() == 0
 
 
+def test_slots_name_their_documents(spark):
+    rows = [(i, "big" if i < 40 else "small" if i < 44 else None, 50 + i) for i in range(46)] + [(99, "big", 0)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(1, "big", 0.5, 2, 1.0), (1, "small", 0.5, 3, 1.0), (2, None, 1.0, 4, 0.1)], "mix_id long, source string, target_weight double, max_repeats long, budget_ratio double")
+    slots = mixture.mix(sizes, targets, 64)[0]
+    pieces = mixture.reading_order(slots, mixture.blocks(sizes, 64)).collect()
+    read, used = {}, {}
+    for r in pieces:
+        read[r["mix_id"], r["slot"]] = read.get((r["mix_id"], r["slot"]), 0) + r["tokens"]
+        used.setdefault((r["mix_id"], r["source"], r["repeat"], r["doc_id"]), []).extend(range(r["first"], r["first"] + r["tokens"]))
+    assert read == {(r["mix_id"], r["slot"]): r["tokens"] for r in slots.collect()}
+    length = {i: n for i, _, n in rows}
+    for (_, _, _, doc), at in used.items():
+        assert len(at) == len(set(at)) and min(at) >= 0 and max(at) < length[doc]
+    for doc in (40, 41, 42, 43):
+        assert sorted(used[1, "small", 0, doc]) == list(range(length[doc]))
+    assert {m for m, s, _, _ in used if s is None} == {2}
+
+
 def test_schedule_keeps_shares_everywhere(spark):
     plan = spark.createDataFrame([(1, "a", 0.7, 20000.0), (1, "b", 0.3, 20000.0)], "mix_id long, source string, target_weight double, budget double")
     rows = sorted((r["slot"], r["source"], r["turn"]) for r in mixture.schedule(plan, 1).collect())
