@@ -63,12 +63,13 @@ def radix_state(df: DataFrame, groups: list[str], value: str, bits: int = 20) ->
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
-    """The state of all rows of the given states."""
+    """The state of all rows of the given states. Rows in several states count in each; day_states makes states in which
+    a measurement that is reported again counts once."""
     both = states[0]
     for s in states[1:]:
         both = both.unionByName(s)
     groups = [c for c in both.columns if c not in ("bucket", "n")]
-    return both.groupBy(*groups, "bucket").agg(F.sum("n").alias("n"))
+    return both.groupBy(*groups, "bucket").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def state_percentiles(state: DataFrame, groups: list[str], quantiles: list[str], bits: int = 20) -> DataFrame:
@@ -82,37 +83,78 @@ def state_percentiles(state: DataFrame, groups: list[str], quantiles: list[str],
     return rows.select(*groups, F.col("_n").alias("n"), F.col("t.q").alias("q"), key_value(low, double).alias("low"), key_value(low + F.lit(width).cast("bigint"), double).alias("high"))
 
 
+def value_changes(reports: DataFrame, groups: list[str], ids: list[str], day: str, value: str) -> DataFrame:
+    """(*groups, day, key, old, last): the reports that change a measurement's value, in order of their days.
+
+    A measurement is named by groups and ids and may be reported any number of times, on any days; the largest value
+    counts. key and old are order keys (order_key) of the value from that day on and of the one before, null on the first day;
+    last is true for the value that holds in the end. Null and NaN values change nothing. Reports are first brought
+    down to one per measurement and day where they lie, so a measurement that is reported very often has no more rows than days.
+    """
+    key = order_key(F.col(value).cast("double"), T.DoubleType())
+    per = reports.select(*groups, *ids, day, key.alias("key")).filter("key is not null").groupBy(*groups, *ids, day).agg(F.max("key").alias("key"))
+    by = W.partitionBy(*groups, *ids)
+    before = F.max("key").over(by.orderBy(day).rowsBetween(W.unboundedPreceding, -1))
+    at = per.withColumns({"old": before, "_top": F.max("key").over(by)}).filter("old is null or key > old")
+    return at.select(*groups, day, "key", "old", (F.col("key") == F.col("_top")).alias("last"))
+
+
+def day_states(changes: DataFrame, groups: list[str], day: str, bits: int = 20) -> DataFrame:
+    """(*groups, day, bucket, n): one mergeable state per day from value_changes.
+
+    A value that a later day replaces is taken out again by that day's state (n may be negative), so the sum over any
+    first days is the state of all measurements as known then: none counts twice. States are made for each day by itself and
+    combined by merge_states; the rows of earlier days aren't read again.
+    """
+    each = F.array(F.struct(F.col("key").alias("k"), F.lit(1).cast("bigint").alias("c")), F.struct(F.col("old").alias("k"), F.lit(-1).cast("bigint").alias("c")))
+    rows = changes.select(*groups, day, F.explode(each).alias("e")).filter("e.k is not null").select(*groups, day, F.shiftright(F.col("e.k"), 64 - bits).alias("bucket"), "e.c")
+    return rows.groupBy(*groups, day, "bucket").agg(F.sum("c").alias("n")).filter("n <> 0")
+
+
 def radix_percentiles(df: DataFrame, groups: list[str], value: str, quantiles: list[str], digit_bits: int = 10) -> DataFrame:
     """(*groups, n, one column per quantile, such as p95): exact nearest-rank percentiles (sorted position ceil(q n)) of every group.
 
     quantiles are decimal strings such as "0.95". Each pass counts, per group, the values by their next digit_bits
     bits and keeps of every target only the digit that contains its rank; a pass shuffles at most 2^digit_bits
     counts per target and map task, never values, so a group may hold any share of the rows. Leading bits that all
-    values share take no pass. Nulls and NaN are left out; a group without values gives no row; null group keys
-    are groups of their own. Other columns of df are dropped; a group column may have any name but those with _.
+    values share take no pass; later passes read only the rows that the one before left. Nulls and NaN are left out; a group
+    without values gives no row; null group keys are groups of their own. Other columns of df are dropped; a group
+    column may have any name but those with _.
     """
     kind = df.schema[value].dataType
     g = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(groups, g, strict=True)], order_key(F.col(value), kind).alias("_k")).filter("_k is not null")
-    return select_ranks(materialise(rows), g, quantiles, digit_bits, kind).select(*[F.col(a).alias(c) for c, a in zip(groups, g, strict=True)], "n", *[label(q) for q in quantiles])
+    return select_ranks(materialise(_salted(rows)), g, quantiles, digit_bits, kind).select(*[F.col(a).alias(c) for c, a in zip(groups, g, strict=True)], "n", *[label(q) for q in quantiles])
+
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """rows with a number below SALTS that depends on a row's place, not its values; to be written before it is used."""
+    return rows.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
 
-def select_ranks(rows: DataFrame, g: list[str], quantiles: list[str], digit_bits: int, kind: T.DataType) -> DataFrame:
-    """The passes of radix_percentiles over (*g, _k), a written table."""
+
+def select_ranks(rows: DataFrame, g: list[str], quantiles: list[str], digit_bits: int, kind: T.DataType, state: DataFrame | None = None, state_bits: int = 20) -> DataFrame:
+    """The passes of radix_percentiles over (*g, _k, _s), a written table.
+
+    With state, the merged state (*g, bucket, n) of the same rows by their upper state_bits bits, the first digit is
+    read from it and rows are read for the digits below only.
+    """
     lo, hi = rows.select(F.min("_k"), F.max("_k")).first()
     names = [label(q) for q in quantiles]
     if lo is None:
         return rows.select(*g, F.lit(0).cast("bigint").alias("n"), *[key_value(F.col("_k"), kind).alias(c) for c in names]).limit(0)
     # the digits below the bits that lo and hi share, taken from the offset to lo's prefix
-    open_bits = (lo ^ hi).bit_length() if (lo < 0) == (hi < 0) else 64
+    open_bits = 64 if state is not None else (lo ^ hi).bit_length() if (lo < 0) == (hi < 0) else 64
     shift = open_bits
     prefix = F.shiftright(F.col("_k"), shift) if shift < 64 else F.lit(0).cast("bigint")
     targets = None
     while shift > 0 or targets is None:
-        step = min(digit_bits, shift)
+        step = min(state_bits if state is not None and targets is None else digit_bits, shift)
         nxt = F.shiftright(F.col("_k"), shift - step)
         if targets is None:
-            counted = rows.withColumn("_d", nxt).groupBy(*g, "_d").agg(F.count(F.lit(1)).alias("_c"))
+            if state is not None:
+                counted = state.select(*g, F.col("bucket").alias("_d"), F.col("n").alias("_c"))
+            else:
+                counted = rows.withColumn("_d", nxt).groupBy(*g, "_d").agg(F.count(F.lit(1)).alias("_c"))
             by = W.partitionBy(*g)
             at = counted.withColumns({"_to": F.sum("_c").over(by.orderBy("_d")), "n": F.sum("_c").over(by)})
             ranks = F.array(*[F.struct(F.lit(i).alias("i"), _rank(q, F.col("n")).alias("r")) for i, q in enumerate(quantiles)])
@@ -124,9 +166,12 @@ def select_ranks(rows: DataFrame, g: list[str], quantiles: list[str], digit_bits
             if paths.count() <= BROADCAST_TARGETS:
                 on = at.alias("l").join(F.broadcast(paths).alias("r"), null_safe(at, paths, keys, "l", "r"), "left_semi")
             else:
-                at = at.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(SALTS)))
+                # the salt comes from a row's place, so a value that holds most of a group is spread like any other
                 salted = paths.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
                 on = at.alias("l").join(salted.alias("r"), null_safe(at, salted, [*keys, "_s"], "l", "r"), "left_semi")
+            if shift > step:
+                rows = materialise(on.select(*g, "_k", "_s"))
+                on = rows.withColumn("_d", prefix)
             counted = on.withColumnRenamed("_d", "_p").withColumn("_d", nxt).groupBy(*g, "_p", "_d").agg(F.count(F.lit(1)).alias("_c"))
             by = W.partitionBy(*g, "_p")
             at = counted.withColumn("_to", F.sum("_c").over(by.orderBy("_d")))
@@ -141,16 +186,30 @@ def select_ranks(rows: DataFrame, g: list[str], quantiles: list[str], digit_bits
     return wide.select(*g, "n", *[key_value(F.col(f"_v{i}"), kind).alias(c) for i, c in enumerate(names)])
 
 
-def latencies(spark, sf_dir: str) -> DataFrame:
-    """One row per measurement of prefuzz_verify; latency_us is null when nothing was measured."""
-    t = table(spark, sf_dir, "prefuzz_verify").select("run_id", norm_name("strategy").alias("strategy"), norm_name("type").alias("type"), "query_id", "repeat", F.when(F.col("latency_us") >= 0, F.col("latency_us")).alias("latency_us"))
-    return t.groupBy("run_id", "strategy", "type", "query_id", "repeat").agg(F.max("latency_us").alias("latency_us"))
+MEASUREMENT = ["run_id", "strategy", "type", "query_id", "repeat"]
+#: Upper bits of a latency's order key in the states of days: percentiles are known within a factor of 1 + 2^-12 from them alone.
+STATE_BITS = 24
+
+
+def latency_changes(spark, sf_dir: str) -> DataFrame:
+    """The changes of latency_us by day over all reports of prefuzz_verify (see value_changes)."""
+    t = table(spark, sf_dir, "prefuzz_verify").select("run_id", norm_name("strategy").alias("strategy"), norm_name("type").alias("type"), "query_id", "repeat", "run_day", F.when(F.col("latency_us") >= 0, F.col("latency_us")).alias("v"))
+    return value_changes(t, MEASUREMENT[:3], MEASUREMENT[3:], "run_day", "v")
 
 
 def p1_percentiles(spark, sf_dir: str) -> DataFrame:
-    """Median and 95th percentile of latency_us by run, strategy and type."""
-    out = radix_percentiles(latencies(spark, sf_dir), ["run_id", "strategy", "type"], "latency_us", ["0.5", "0.95"])
-    return out.select("run_id", "strategy", "type", "n", "p50", "p95")
+    """Median and 95th percentile of latency_us by run, strategy and type.
+
+    The states of a run's days, each made by itself, are merged and give the first digit; the digits below are followed
+    in the measurements of the buckets that hold a target.
+    """
+    changes = materialise(_salted(latency_changes(spark, sf_dir)))
+    g = MEASUREMENT[:3]
+    days = day_states(changes, g, "run_day", STATE_BITS)
+    state = materialise(merge_states(days.drop("run_day")))
+    rows = changes.filter("last").select(*g, F.col("key").alias("_k"), "_s")
+    out = select_ranks(rows, g, ["0.5", "0.95"], 20, T.DoubleType(), state, STATE_BITS)
+    return out.select(*g, "n", F.col("p50").cast("bigint").alias("p50"), F.col("p95").cast("bigint").alias("p95"))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
@@ -159,9 +218,7 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p1_days(spark, sf_dir: str) -> DataFrame:
-    """Bounds of the median by strategy and type over all runs, from one mergeable state per day."""
-    t = table(spark, sf_dir, "prefuzz_verify")
-    once = t.filter("latency_us >= 0").groupBy("run_id", norm_name("strategy").alias("strategy"), norm_name("type").alias("type"), "query_id", "repeat").agg(F.max("latency_us").cast("double").alias("v"), F.max("run_day").alias("run_day"))
-    state = radix_state(once, ["run_day", "strategy", "type"], "v", 24)
-    out = state_percentiles(merge_states(state.drop("run_day")), ["strategy", "type"], ["0.5"], 24)
-    return out.select("strategy", "type", "n", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+    """Bounds of median and 95th percentile by strategy and type over all runs, from one mergeable state per day alone."""
+    days = day_states(latency_changes(spark, sf_dir), MEASUREMENT[:3], "run_day", STATE_BITS)
+    out = state_percentiles(merge_states(days.drop("run_id", "run_day")), ["strategy", "type"], ["0.5", "0.95"], STATE_BITS)
+    return out.select("strategy", "type", "n", "q", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
