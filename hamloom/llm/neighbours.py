@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from hamloom.functions.bits import WORDS, with_words
+from hamloom.functions.bits import WORDS, hamming, with_words, words_of
+from hamloom.operators.search import SCAN_BLOCK, blocks_of
 from hamloom.operators.store import distinct_tags
 from hamloom.session import materialise
 
-#: Codewords of a half are drawn from at most this many tags per codeword (hash order); the bound of the fit.
-SAMPLE_PER_CODEWORD = 4
-MAX_CODEWORDS = 1024
+#: Codewords of a half are fitted on at most this many tags per codeword (hash order), so on some 2 sqrt(n) tags of n; and
+#: the rounds of the fit.
+SAMPLE_PER_CODEWORD, ROUNDS = 8, 4
 #: A query visits at least PROBES x codewords of the codewords^2 cells of its type.
 PROBES = 4
 #: Share of the true neighbours of a sample of queries that the visited cells must hold, and the sample's size per type.
 RECALL, SAMPLE_QUERIES = 0.97, 512
-#: Tags of one region, the unit in which the index is searched; and queries that are searched in a region at once.
-REGION = 32_768
-QUERY_BLOCK = 262_144
+#: Fewest tags of a region, the unit in which the index is searched; a block of queries, searched in a region at once, is as large.
+REGION = 24_576
+#: Above REGION squared tags, a region has the root of this many tags per tag of its type.
+PAIRS_PER_TAG = 1024
 
 
 @dataclass
@@ -42,7 +44,45 @@ class Codebook:
 
 def codewords_for(n: int) -> int:
     """About a quarter of the square root of n, a power of two, so that a cell holds a few tags at any n."""
-    return int(min(MAX_CODEWORDS, max(1, 2 ** int(np.floor(np.log2(max(1.0, np.sqrt(n) / 4)))))))
+    return int(max(1, 2 ** int(np.floor(np.log2(max(1.0, np.sqrt(n) / 4))))))
+
+
+def region_size(n: int) -> int:
+    """Tags of a region for a type of n tags.
+
+    A tag is sent to the regions that its query visits and, as an item, once per block of queries: n / size times each
+    at most. Comparing n tags at any distance takes up to n^2 / 2 comparisons, n^2 / size^2 tasks; size grows with the root of n
+    so that tags are sent about sqrt(n / PAIRS_PER_TAG) times while a task grows to n x PAIRS_PER_TAG comparisons.
+    """
+    return max(REGION, int(np.sqrt(float(n) * PAIRS_PER_TAG)))
+
+
+def tag_hash(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of all four words (rows of words), so that tags with equal words in any place still spread."""
+    h = np.zeros(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(4):
+            # The multipliers of a 64-bit finaliser
+            h = (h ^ words[:, j]) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(33)
+            h = h * np.uint64(0xC4CEB9FE1A85EC53)
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def refine(codewords: np.ndarray, sample: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Codewords moved to the middle of their cells: per bit the majority of the sample's halves nearest to them, `rounds` times."""
+    bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(len(sample), 16), axis=1)
+    for _ in range(rounds):
+        near = half_distances(sample, codewords).argmin(1)
+        n = np.bincount(near, minlength=len(codewords))
+        ones = np.zeros((len(codewords), 128), np.int64)
+        np.add.at(ones, near, bits)
+        kept = np.unpackbits(codewords.astype(">u8").view(np.uint8).reshape(len(codewords), 16), axis=1)
+        # ties and codewords without members stay as they are
+        new = np.where(2 * ones > n[:, None], 1, np.where(2 * ones < n[:, None], 0, kept)).astype(np.uint8)
+        codewords = np.packbits(new, axis=1).reshape(-1, 2, 8).copy().view(">u8")[:, :, 0].astype(np.uint64)
+    return codewords
 
 
 def half_distances(words: np.ndarray, codewords: np.ndarray) -> np.ndarray:
@@ -117,7 +157,7 @@ def _fit(tags: DataFrame, sizes: dict[str, int]) -> dict[str, Codebook]:
         halves = []
         for cols in (words[:, :2], words[:, 2:]):
             _, at = np.unique(cols, axis=0, return_index=True)
-            halves.append(cols[np.sort(at)[: wanted[t]]])
+            halves.append(refine(cols[np.sort(at)[: wanted[t]]], cols))
         out[t] = Codebook(*halves)
     return out
 
@@ -171,20 +211,20 @@ def _cells(tags: DataFrame, sizes: dict[str, int], books: dict[str, Codebook], k
     return out
 
 
-def _regions(counts: pd.DataFrame) -> dict[str, list[list[int]]]:
+def _regions(counts: pd.DataFrame, sizes: dict[str, int]) -> dict[str, list[list[int]]]:
     """Per type, the regions of every first codeword: neighbours in number share a region, a large one is cut in parts."""
     out: dict[str, list[list[int]]] = {}
     region = 0
     for t, part in counts.groupby("type", sort=True):
-        fill = 0
+        size, fill = region_size(sizes[t]), 0
         lists = [[] for _ in range(int(part["c1"].max()) + 1)]
         for c, n in sorted(zip(part["c1"], part["n"], strict=True)):
-            if fill and fill + n > REGION:
+            parts = max(1, -(-n // size))
+            if fill and (parts > 1 or fill + n > size):
                 region, fill = region + 1, 0
-            parts = max(1, -(-n // REGION))
             lists[c] = list(range(region, region + parts))
             if parts > 1:
-                region, fill = region + parts, 0
+                region = region + parts
             else:
                 fill += n
         region += 1
@@ -276,11 +316,12 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
 
     Method: inverted multi-index. Either 128-bit half is quantised to its nearest codeword; a tag lies in the cell of
     its two codewords. A query visits cells by summed distance until it has seen probes x codewords of them, or as many as
-    the recall RECALL takes on a sample of queries (see _cells), and the tags of visited cells are ranked by full distance. As all tags are also queries, a pair counts for both ends
-    whichever of them visits the other. The fit uses a bounded sample (SAMPLE_PER_CODEWORD per codeword), all tags are
-    indexed. Cells are kept in regions of at most REGION tags (a crowded codeword is cut into several), queries are
-    sent once to each region that they visit, in blocks of about QUERY_BLOCK, so a task holds a region and a block
-    whatever the size of the collection. Only the best k per region leave a task.
+    the recall RECALL takes on a sample of queries (see _cells), and the tags of visited cells are ranked by full distance. As
+    all tags are also queries, a pair counts for both ends whichever of them visits the other. The fit uses a bounded sample
+    (SAMPLE_PER_CODEWORD per codeword), all tags are indexed. Cells are kept in regions of at most region_size tags (a
+    crowded codeword is cut by a hash of the whole tag), queries are sent once to each region that they visit, in hash blocks
+    of as many, so a task holds a region and a block. Only the best k per region leave a task. Where near neighbours are rare,
+    the wanted recall takes a large share of all cells, and the work grows with nearly n^2 / 2 comparisons.
     """
     spark = tags.sparkSession
     rows = materialise(with_words(tags.filter("type is not null and tag is not null").select("type", "tag").distinct()))
@@ -289,17 +330,19 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
     if not sizes:
         return spark.createDataFrame([], schema)
     fitted = _fit(rows, sizes)
-    books = spark.sparkContext.broadcast(fitted)  # at most MAX_CODEWORDS x 32 bytes per type
+    books = spark.sparkContext.broadcast(fitted)  # about 8 sqrt(n) bytes for a type of n tags
     cells = _cells(rows, sizes, fitted, k, radius, probes)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for t, part in df.groupby("type", sort=False):
                 book, w = books.value[t], _words(part)
-                for at in range(0, len(part), 16384):
-                    d1, d2 = half_distances(w[at : at + 16384, :2], book.first), half_distances(w[at : at + 16384, 2:], book.second)
+                rows_at_once = max(256, (1 << 24) // book.k)
+                for at in range(0, len(part), rows_at_once):
+                    end = at + rows_at_once
+                    d1, d2 = half_distances(w[at:end, :2], book.first), half_distances(w[at:end, 2:], book.second)
                     far = reach(d1, d2, cells[t])
-                    out = part.iloc[at : at + 16384][["type", *WORDS]].copy()
+                    out = part.iloc[at:end][["type", *WORDS]].copy()
                     out["c1"], out["c2"], out["far"] = d1.argmin(1).astype(np.int32), d2.argmin(1).astype(np.int32), far
                     out["slack"] = far - d2.min(1)
                     yield out
@@ -307,8 +350,8 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
     words = ", ".join(f"{w} bigint" for w in WORDS)
     placed = materialise(rows.select("type", *WORDS).mapInPandas(assign, f"type string, {words}, c1 int, c2 int, far int, slack int"))
     counts = placed.groupBy("type", "c1").agg(F.count(F.lit(1)).alias("n")).toPandas()  # types x codewords numbers
-    plan = spark.sparkContext.broadcast(_regions(counts))
-    split = max(1, -(-max(sizes.values()) // QUERY_BLOCK))
+    plan = spark.sparkContext.broadcast(_regions(counts, sizes))
+    split = {t: max(1, -(-n // region_size(n))) for t, n in sizes.items()}
 
     def to_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -318,15 +361,15 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
                 ids = sorted({r for x in lists for r in x})
                 part = part.reset_index(drop=True)
                 d1 = half_distances(w[:, :2], book.first)
-                goes = np.zeros((len(part), len(ids)), bool)
+                goes, place = np.zeros((len(part), len(ids)), bool), {r: i for i, r in enumerate(ids)}
                 for c, regions in enumerate(lists):
                     if regions:
-                        goes[:, [ids.index(r) for r in regions]] |= (d1[:, c] <= part["slack"].to_numpy())[:, None]
+                        goes[:, [place[r] for r in regions]] |= (d1[:, c] <= part["slack"].to_numpy())[:, None]
                 q, r = np.nonzero(goes)
                 out = part.iloc[q][[*WORDS, "far"]].copy()
                 out["region"] = np.array(ids, np.int32)[r]
                 out["type"] = t
-                out["block"] = (w[q, 3] % np.uint64(split)).astype(np.int32)
+                out["block"] = (tag_hash(w) // np.uint64(3) % np.uint64(split[t])).astype(np.int32)[q]
                 yield out[["type", "region", "block", *WORDS, "far"]]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,14 +379,15 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
                 out = part[[*WORDS]].copy()
                 many = np.array([len(lists[c]) for c in part["c1"]], np.uint64)
                 first = np.array([lists[c][0] for c in part["c1"]], np.int32)
-                out["region"] = first + (w[:, 3] % many).astype(np.int32)
+                out["region"] = first + (tag_hash(w) % many).astype(np.int32)
                 out["cell"] = part["c1"].to_numpy(np.int32) * 65536 + part["c2"].to_numpy(np.int32)
                 out["type"] = t
                 yield out[["type", "region", *WORDS, "cell"]]
 
     queries = placed.mapInPandas(to_regions, f"type string, region int, block int, {words}, far int")
     items = placed.mapInPandas(index, f"type string, region int, {words}, cell int")
-    items = items.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+    last = F.create_map(*[x for t, n in split.items() for x in (F.lit(t), F.lit(n - 1))])[F.col("type")]
+    items = items.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [f"a{i}" for i in range(4)] + [f"b{i}" for i in range(4)]
@@ -372,6 +416,28 @@ def p2_neighbours(spark, sf_dir: str, k: int = 5) -> DataFrame:
     return nearest_tags(distinct_tags(spark, sf_dir).select("type", "tag"), k)
 
 
+def p2_recall(spark, sf_dir: str, k: int = 5, every: int = 50, least: float = 0.95) -> DataFrame:
+    """(type, queries, wanted, reached): how p2_neighbours fares against brute force for the tags whose smallest record_id is
+    divisible by `every`: their number, their true neighbours, and whether it gives at least the share `least` of these.
+
+    The stated tags go past all others in broadcast blocks (see operators.search.blocks_of).
+    """
+    tags = materialise(with_words(distinct_tags(spark, sf_dir).select("type", "tag", "record_id")))
+    asked = tags.filter(F.col("record_id") % every == 0)
+    near = nearest_tags(tags.select("type", "tag"), k).select("type", "tag", "near")
+    d = hamming(words_of(alias="r"), words_of(alias="q"))
+    best = None
+    for part in blocks_of(asked.select("type", "tag", *WORDS), SCAN_BLOCK):
+        met = tags.alias("r").join(F.broadcast(part).alias("q"), (F.col("r.type") == F.col("q.type")) & (F.col("r.tag") != F.col("q.tag")))
+        rows = met.select("q.type", "q.tag", F.col("r.tag").alias("near"), d.alias("distance"))
+        best = rows if best is None else best.unionByName(rows)
+    rank = F.row_number().over(W.partitionBy("type", "tag").orderBy("distance", "near"))
+    truth = best.withColumn("_r", rank).filter(F.col("_r") <= k).select("type", "tag", "near")
+    hit = truth.join(near.withColumn("hit", F.lit(1)), ["type", "tag", "near"], "left")
+    per = hit.groupBy("type").agg(F.countDistinct("tag").alias("queries"), F.count(F.lit(1)).alias("wanted"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"))
+    return per.select("type", "queries", "wanted", (F.col("found") >= F.col("wanted") * F.lit(least)).alias("reached"))
+
+
 def p2_found(spark, sf_dir: str, k: int = 5, radius: int = 48) -> DataFrame:
     """Pairs within radius of which one is among the k nearest of the other; the radius is applied before the ranking,
     which it can't change, for it drops only the farthest."""
