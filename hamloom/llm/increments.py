@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from hamloom.functions.bits import WORDS, hamming, segment_keys, with_words, words_of
 from hamloom.functions.keys import hex256, norm_name
@@ -23,18 +25,41 @@ def _segments(df: DataFrame, radius: int) -> DataFrame:
 
 
 class History:
-    """Everything accepted so far, as two bucketed tables in the shared folder.
+    """Everything accepted so far, as two bucketed tables in a folder that all executors share.
 
     `whole` has the content hashes (digests), bucketed by digest; `parts` has every distinct tag once per segment, bucketed by
     (type, segment, value). A batch is shuffled to the buckets by itself; the tables are read bucket by bucket where
     they lie and aren't shuffled again. append() adds the accepted records of a batch as further files of the buckets, so
-    the history is never rewritten. buckets is fixed when the history begins: about one bucket per 128 MB expected.
+    the history is never rewritten; an append that broke off is repeated whole, as hashes that come twice do no harm.
+    buckets is fixed when the history begins: about one bucket per 128 MB expected.
+
+    With a path, the history stays there: another session opens it by the same path, with the buckets and the radius it was
+    begun with. Without one it lies in a folder of its own until close().
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 16, radius: int = RADIUS):
-        self.spark, self.buckets, self.radius = spark, buckets, radius
-        self.dir, name = shared_dir(spark), uuid.uuid4().hex[:12]
+    def __init__(self, spark: SparkSession, buckets: int = 16, radius: int = RADIUS, path: str | None = None):
+        self.spark, self.kept = spark, path is not None
+        self.dir = path.rstrip("/") if path else shared_dir(spark)
+        self.buckets, self.radius = self._begin(buckets, radius)
+        name = hashlib.sha256(self.dir.encode()).hexdigest()[:16]
         self.whole, self.parts = f"hamloom_whole_{name}", f"hamloom_parts_{name}"
+        words = ", ".join(f"{w} bigint" for w in WORDS)
+        for table_name, columns, key in ((self.whole, "digest string", "digest"), (self.parts, f"part string, {words}", "part")):
+            at = f"{self.dir}/{table_name[:13]}"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table_name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+
+    def _begin(self, buckets: int, radius: int) -> tuple[int, int]:
+        """The buckets and radius of the folder, which are written there when the history begins."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/history.json")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            kept = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.dir}/history.json").collect()))
+            return kept["buckets"], kept["radius"]
+        out = fs.create(at, False)
+        out.write(bytearray(json.dumps({"buckets": buckets, "radius": radius}).encode()))
+        out.close()
+        return buckets, radius
 
     def append(self, accepted: DataFrame) -> None:
         """Add records (digest, type, tag); a null digest or tag adds nothing to its table."""
@@ -42,8 +67,8 @@ class History:
         tags = accepted.select("type", "tag").filter("tag is not null and type is not null").distinct()
         for df, key, name in ((digests, "digest", self.whole), (_segments(with_words(tags), self.radius).select("part", *WORDS), "part", self.parts)):
             # one file per bucket and append
-            out = df.repartition(self.buckets, key).write.format("parquet").bucketBy(self.buckets, key).sortBy(key)
-            out.option("path", f"{self.dir}/{name}").mode("append").saveAsTable(name)
+            df.repartition(self.buckets, key).sortWithinPartitions(key).write.insertInto(name)
+            self.spark.catalog.refreshTable(name)
 
     def known(self, batch: DataFrame) -> DataFrame:
         """The ids of batch (id, digest, type, tag) with a known digest, or a tag within radius of a known one of its type.
@@ -61,24 +86,37 @@ class History:
         by_tag = lookup_unique(batch.filter("tag is not null and type is not null").select("id", "type", "tag"), near, ["type", "tag"], tags).filter("_hit").select("id")
         return by_digest.union(by_tag).distinct()
 
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Settle a batch (id, pos, digest, type, tag): (id, repeat) of every record, all others being appended.
+
+        repeat is true if the history or an earlier record of the batch (by pos) that is no repeat has the same digest, or a
+        tag of the same type within radius. The verdicts are a written table.
+        """
+        new = materialise(batch.select("id", "pos", "digest", "type", "tag"))
+        old = materialise(self.known(new))
+        rest = new.join(old, "id", "left_anti")
+        verdicts = materialise(first_of_each(rest, self.radius).union(old.select("id", F.lit(True).alias("repeat"))))
+        self.append(new.join(verdicts.filter("not repeat"), "id", "left_semi"))
+        return verdicts
+
     def close(self) -> None:
-        """Drop both tables and their files."""
+        """Forget both tables; their files go too unless the history was given a path."""
         for t in (self.whole, self.parts):
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-        drop_dir(self.spark, self.dir)
+        if not self.kept:
+            drop_dir(self.spark, self.dir)
 
 
-def first_of_each(rest: DataFrame, radius: int = RADIUS, max_rounds: int = 1000) -> DataFrame:
+def first_of_each(rest: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, repeat) for records (id, pos, digest, type, tag) in order of pos: repeat is true if an earlier record that is
     no repeat itself has the same digest, or a tag of the same type within radius.
 
     Records equal in digest, type and tag are repeats of the first of them whatever becomes of it, so only firsts are
     compared. Their links are kept as keys (digests, and tags with their neighbours), never as pairs of records. A round
     accepts every open record that is the first open one at all of its keys and sees no accepted record there, and
-    rejects those that see one; rounds go on until none is open, at most as many as the longest chain of records that
-    each wait for the one before. pos is unique.
+    rejects those that see one. What is settled leaves the tables of open records, and rounds go on until these are empty:
+    every round settles the first open record at least, so they end. pos is unique.
     """
-    spark = rest.sparkSession
     rest = materialise(rest.select("id", "pos", "digest", "type", "tag"))
     bare = rest.filter("digest is null and (tag is null or type is null)")
     keyed = rest.filter("digest is not null or (tag is not null and type is not null)")
@@ -90,34 +128,26 @@ def first_of_each(rest: DataFrame, radius: int = RADIUS, max_rounds: int = 1000)
     close = (F.col("a.part") == F.col("b.part")) & (hamming(words_of(alias="a"), words_of(alias="b")) <= radius)
     # every tag is its own neighbour, for it shares all segments with itself
     near = a.join(b, close).select("a.type", "a.tag", F.col("b.tag").alias("near")).distinct()
-    gives = firsts.select("pos", F.concat(F.lit("d"), "digest").alias("key")).filter("key is not null").union(firsts.select("pos", F.concat_ws("/", F.lit("t"), "type", "tag").alias("key"), "type", "tag").filter("type is not null and tag is not null").select("pos", "key"))
-    sees = firsts.select("pos", F.concat(F.lit("d"), "digest").alias("key")).filter("key is not null").union(firsts.join(near, ["type", "tag"]).select("pos", F.concat_ws("/", F.lit("t"), "type", "near").alias("key")))
-    gives, sees = materialise(gives), materialise(sees)
+    tagged = firsts.filter("type is not null and tag is not null")
+    yes = F.lit(True).alias("gives")
+    # a record gives its own keys and sees these and the tags near its own
+    digests = firsts.filter("digest is not null").select("pos", F.concat(F.lit("d"), "digest").alias("key"), yes)
+    seen = tagged.join(near, ["type", "tag"]).select("pos", F.concat_ws("/", F.lit("t"), "type", "near").alias("key"), (F.col("near") == F.col("tag")).alias("gives"))
+    open_ = materialise(digests.union(seen).withColumn("taken", F.lit(None).cast("bigint")))
     done: DataFrame | None = None
-    old: list[str] = []
-    for _ in range(max_rounds):
-        if done is None:
-            taken, open_gives, open_sees = None, gives, sees
-        else:
-            taken = gives.join(done.filter("not repeat").select("pos"), "pos", "left_semi").groupBy("key").agg(F.min("pos").alias("taken"))
-            open_gives = gives.join(done.select("pos"), "pos", "left_anti")
-            open_sees = sees.join(done.select("pos"), "pos", "left_anti")
-        waiting = open_gives.groupBy("key").agg(F.min("pos").alias("open"))
-        at = open_sees.join(waiting, "key", "left")
-        at = at.join(taken, "key", "left") if taken is not None else at.withColumn("taken", F.lit(None).cast("bigint"))
-        state = at.groupBy("pos").agg(F.coalesce(F.max(F.col("taken") < F.col("pos")), F.lit(False)).alias("repeat"), F.min("open").alias("open"))
-        now = state.filter(F.col("repeat") | (F.col("open") >= F.col("pos"))).select("pos", "repeat")
-        path = shared_dir(spark)
-        both = materialise(now if done is None else done.unionByName(now), path)
-        old.append(path)
-        n, before = both.count(), 0 if done is None else done.count()
-        done = both
-        if len(old) > 2:
-            drop_dir(spark, old.pop(0))
-        if n == before:
+    rounds = 0
+    while True:
+        waiting = open_.filter("gives").groupBy("key").agg(F.min("pos").alias("open"))
+        state = open_.join(waiting, "key", "left").groupBy("pos").agg(F.coalesce(F.max(F.col("taken") < F.col("pos")), F.lit(False)).alias("repeat"), F.min("open").alias("open"))
+        now = materialise(state.filter(F.col("repeat") | (F.col("open") >= F.col("pos"))).select("pos", "repeat"))
+        done, rounds = now if done is None else done.unionByName(now), rounds + 1
+        if rounds % 20 == 0:
+            done = materialise(done)
+        fresh = open_.filter("gives").join(now.filter("not repeat").select("pos"), "pos", "left_semi").groupBy("key").agg(F.min("pos").alias("fresh"))
+        left = open_.join(now.select("pos"), "pos", "left_anti").join(fresh, "key", "left")
+        open_ = materialise(left.select("pos", "key", "gives", F.least("taken", "fresh").alias("taken")))
+        if open_.isEmpty():
             break
-    else:
-        raise RuntimeError(f"open records are left after {max_rounds} rounds")
     # of the firsts the rounds decide; any other record with the same keys is a repeat
     out = keyed.select("id", "pos").join(done, "pos", "left").select("id", F.coalesce("repeat", F.lit(True)).alias("repeat"))
     return out.union(bare.select("id", F.lit(False).alias("repeat")))
@@ -131,20 +161,34 @@ def arrivals(spark, sf_dir: str) -> DataFrame:
     return q.join(m, "id", "left")
 
 
-def p3_verdicts(spark, sf_dir: str, radius: int = RADIUS) -> DataFrame:
-    """(id, repeat) of every arriving record."""
+#: Loads in which p3's arrivals are taken: whole batches in order, of about as many records each.
+LOADS = 3
+
+
+def p3_verdicts(spark, sf_dir: str, radius: int = RADIUS, loads: int = LOADS) -> DataFrame:
+    """(id, repeat) of every arriving record.
+
+    The reference records begin a history; the arrivals come to it in loads of whole batches, in order. Each is looked up in the
+    history as it is then, its new records are appended, and the next load meets them there.
+    """
     history = History(spark, radius=radius)
     m = manifest_once(spark, sf_dir).filter("role = 'reference'")
     tags = record_tags(spark, sf_dir)
     none = F.lit(None).cast("string")
     history.append(m.select("digest", none.alias("type"), none.alias("tag")).unionByName(tags.select(none.alias("digest"), "type", "tag")))
-    new = materialise(arrivals(spark, sf_dir))
-    old = materialise(history.known(new))
+    new = with_positions(arrivals(spark, sf_dir), ["batch_no", "id"])
+    sizes = new.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"))  # one row per batch
+    # a batch belongs to the load in which its middle record lies
+    place = F.sum("n").over(W.orderBy(F.col("batch_no").asc_nulls_first())) - F.col("n") / 2
+    total = F.sum("n").over(W.partitionBy())
+    of = sizes.withColumn("load", F.floor(place * F.lit(loads) / total)).select("batch_no", "load")
+    new = materialise(new.alias("l").join(F.broadcast(of).alias("r"), F.col("l.batch_no").eqNullSafe(F.col("r.batch_no"))).select("l.*", "r.load"))
+    out = None
+    for load in range(loads):
+        verdicts = history.add(new.filter(F.col("load") == load))
+        out = verdicts if out is None else out.unionByName(verdicts)
     history.close()
-    rest = new.join(old, "id", "left_anti")
-    # the position of a record is its place in the order of batches and ids
-    placed = with_positions(rest, ["batch_no", "id"])
-    return first_of_each(placed, radius).union(old.select("id", F.lit(True).alias("repeat")))
+    return out
 
 
 def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
