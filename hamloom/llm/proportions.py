@@ -6,12 +6,12 @@ import heapq
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hamloom.operators.store import manifest_once
-from hamloom.operators.skew import null_safe, ranked
+from hamloom.operators.skew import lookup_unique, null_safe, ranked
 from hamloom.session import materialise, table
 
 #: Records of one category are ranked in this many hash ranges, each in its own task.
@@ -63,8 +63,8 @@ def proportional_sample(records: DataFrame, targets: DataFrame, seed: str = "0")
 
     A group draws sum(max(target, floor)) records: at least `floor` of each category, the rest by the smallest
     priorities (rank - 0.5) / target with random ranks within a category. report has one row per row of targets:
-    (grp, category, available, target, floor, drawn, short); short is true where fewer records are available than
-    the larger of target and floor. sample has (grp, category, id, rank). Null targets and floors are 0. Records
+    (grp, category, available, target, floor, drawn, short); drawn counts the rows of the sample, and short is true where
+    they are fewer than the larger of target and floor. sample has (grp, category, id, rank). Null targets and floors are 0. Records
     with a null category or of a group without targets are in no sample. Only counts decide the seats, so no task
     sees a group's records; ranks come from hash ranges (see operators.skew.ranked), so a category may hold any
     share of the rows. Repeated targets of a category count once; equal ids are ranked in any order.
@@ -82,28 +82,40 @@ def proportional_sample(records: DataFrame, targets: DataFrame, seed: str = "0")
     lists = lists.withColumn("drawn", _allocate("c.available", "c.target", "c.floor", "total"))
     plan = lists.select("grp", F.explode(F.arrays_zip("c", "drawn")).alias("z")).select("grp", "z.c.*", "z.drawn")
     plan = materialise(plan)  # one row per group and category
-    report = plan.withColumn("short", F.col("available") < need).select("grp", "category", "available", "target", "floor", "drawn", "short")
     drawn = plan.filter("drawn > 0").select("grp", "category", "drawn", "seed")
     mine = rows.alias("l").join(drawn.alias("r"), null_safe(rows, drawn, ["grp", "category"], "l", "r")).select("l.*", "r.drawn", "r.seed")
-    mine = mine.withColumn("_h", F.xxhash64("seed", "id"))
+    mine = mine.withColumn("_h", random_order(F.col("seed"), F.col("id")))
     sample = ranked(mine, ["grp", "category"], ["_h", "id"], BUCKETS).filter("rank <= drawn").select("grp", "category", "id", "rank")
+    got = sample.groupBy("grp", "category").agg(F.count(F.lit(1)).alias("got"))
+    both = plan.alias("l").join(got.alias("r"), null_safe(plan, got, ["grp", "category"], "l", "r"), "left").select("l.*", F.coalesce("r.got", F.lit(0)).alias("got"))
+    report = both.select("grp", "category", "available", "target", "floor", F.col("got").alias("drawn"), (F.col("got") < need).alias("short"))
     return sample, report
 
 
+def random_order(seed: Column, ident: Column) -> Column:
+    """A bigint that orders ids at random but the same for a seed: the first 64 bits of SHA-256 over seed, a slash and id."""
+    return F.conv(F.substring(F.sha2(F.concat(F.coalesce(seed.cast("string"), F.lit("")), F.lit("/"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"), 256), 1, 16), 16, -10).cast("bigint")
+
+
 def pool_records(spark, sf_dir: str) -> DataFrame:
-    """(grp, category, id) of the query pool: exact_ref if a reference record has the same digest."""
-    m = manifest_once(spark, sf_dir).filter("digest is not null")
-    known = m.filter("role = 'reference'").select("digest").distinct().withColumn("known", F.lit(True))
-    pool = m.filter("role = 'query_pool'").join(known, "digest", "left")
+    """(grp, category, id) of the query pool: exact_ref if a reference record has the same digest.
+
+    A handful of digests hold half of the records: these are looked up by broadcast (lookup_unique).
+    """
+    m = materialise(manifest_once(spark, sf_dir).filter("digest is not null"))
+    known = materialise(m.filter("role = 'reference'").select("digest").distinct().withColumn("known", F.lit(True)))
+    rows = m.filter("role = 'query_pool'")
+    pool = lookup_unique(rows, known, ["digest"], materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))))
     return pool.select(F.col("split_id").alias("grp"), F.when(F.col("known"), "exact_ref").otherwise("no_exact_ref").alias("category"), "id")
 
 
 def split_targets(spark, sf_dir: str) -> DataFrame:
-    """(grp, category, target, floor, seed) of every split and both categories."""
-    s = table(spark, sf_dir, "split_summary").select("split_id", "sample_seed", "benchmark_groups", "verify_groups").dropDuplicates(["split_id"])
+    """(grp, category, target, floor, seed) of every split and both categories; of repeated rows the largest values count."""
     each: Iterable[str] = ("exact_ref", "no_exact_ref")
-    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"benchmark_groups.{c}").alias("target"), F.col(f"verify_groups.{c}").alias("floor")) for c in each])
-    return s.select(F.col("split_id").alias("grp"), F.explode(pairs).alias("p"), F.col("sample_seed").cast("string").alias("seed")).select("grp", "p.*", "seed")
+    of = [F.max(f"{g}.{c}").alias(f"{g}_{c}") for g in ("benchmark_groups", "verify_groups") for c in each]
+    s = table(spark, sf_dir, "split_summary").groupBy(F.col("split_id").alias("grp")).agg(F.max("sample_seed").cast("string").alias("seed"), *of)
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"benchmark_groups_{c}").alias("target"), F.col(f"verify_groups_{c}").alias("floor")) for c in each])
+    return s.select("grp", F.explode(pairs).alias("p"), "seed").select("grp", "p.*", "seed")
 
 
 def p4_sample(spark, sf_dir: str) -> DataFrame:
@@ -119,6 +131,6 @@ def p4_report(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    """Categories of a split with fewer pool records than asked for."""
+    """Categories of a split whose sample falls short because the pool has fewer records than asked for."""
     _, report = proportional_sample(pool_records(spark, sf_dir), split_targets(spark, sf_dir))
     return report.filter("short").select(F.col("grp").alias("split_id"), "category")
