@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -48,6 +48,15 @@ def blocks(sizes: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 7) ->
     return cut.select("source", "block", "doc_id", (lo - F.col("start")).alias("first"), (hi - lo).alias("tokens"))
 
 
+def slot_point(slot: Column) -> Column:
+    """slot * GOLDEN_62 mod 2^62: both factors are cut into halves of 31 bits, so no product of halves overflows."""
+    half = 1 << 31
+    high, low = GOLDEN_62 >> 31, GOLDEN_62 & (half - 1)
+    s1, s0 = F.pmod(F.shiftright(slot, 31), F.lit(half)), F.pmod(slot, F.lit(half))
+    upper = F.pmod(F.pmod(s0 * F.lit(high), F.lit(half)) + F.pmod(s1 * F.lit(low), F.lit(half)), F.lit(half))
+    return (upper * F.lit(half) + s0 * F.lit(low)).bitwiseAND(F.lit(MASK_62))
+
+
 def schedule(plan: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(mix_id, slot, source, turn): which source fills each slot, and how often it had a turn before.
 
@@ -68,10 +77,7 @@ def schedule(plan: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     chunks = chunks.repartition(F.col("mix_id"), F.col("chunk"))
     end = F.least(F.col("slots"), (F.col("chunk") + 1) * F.lit(CHUNK)) - 1
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * F.lit(CHUNK), end)))
-    # slot * GOLDEN mod 2^62 without overflow: the factor is cut into two halves of 31 bits
-    high, low = GOLDEN_62 >> 31, GOLDEN_62 & ((1 << 31) - 1)
-    part = F.pmod(F.col("slot") * F.lit(high), F.lit(1 << 31)) * F.lit(1 << 31) + F.pmod(F.col("slot"), F.lit(1 << 31)) * F.lit(low)
-    point = part.bitwiseAND(F.lit(MASK_62)) / F.lit(float(1 << 62))
+    point = slot_point(F.col("slot")) / F.lit(float(1 << 62))
     chosen = F.element_at(F.filter("ranges", lambda r: r["hi"] > point), 1)["source"]
     rows = slots.select("mix_id", "chunk", "slot", chosen.alias("source"))
     sums = rows.groupBy("mix_id", "source", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -82,13 +88,20 @@ def schedule(plan: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     return mine.alias("l").join(before.alias("r"), null_safe(mine, before, keys, "l", "r")).select("l.mix_id", "l.slot", "l.source", (F.col("l._in") + F.col("r.before")).alias("turn"))
 
 
+#: Slots by which a source's turns may differ from its exact share of a schedule of 2^62 slots or fewer: the golden
+#: ratio's points lie within 3 + ln(n) / ln(phi) of any share of n slots.
+DISCREPANCY = 93
+
+
 def mix(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(slots, report) of the mixes in targets over documents of given sizes.
 
     slots: (mix_id, slot, source, block, repeat, tokens): the blocks of blocks() in the order to read them; a source's
     blocks are taken in turn, each pass over them being one repeat, at most max_repeats. Turns beyond that stay empty
-    and have no row. report: (mix_id, source, size, target_weight, target_tokens, tokens, share, repeats, failed), one row per
-    target. failed is true if max_repeats x size is less than target_weight x budget_ratio x the size of all documents.
+    and have no row. report: (mix_id, source, size, target_weight, target_tokens, turns, tokens, share, repeats, failed), one row
+    per target; turns are the slots that the schedule asked of the source. failed is true if max_repeats x size is less than
+    target_weight x budget_ratio x the size of all documents: such a source uses up all its repeats in the schedule but for
+    DISCREPANCY turns and the filling of its last block, and of those that do, the tokens are compared exactly.
     Null weights and repeats count as 0; sources without documents have size 0; documents of sources that aren't asked for
     count in the size of all only. An empty table of targets gives no rows.
     """
@@ -96,16 +109,22 @@ def mix(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS)
     turns = schedule(plan.withColumn("budget", F.col("budget_ratio") * F.lit(total)), block_tokens)
     n = F.ceil(F.col("r.size") / F.lit(block_tokens))
     known = turns.alias("l").join(F.broadcast(plan).alias("r"), null_safe(turns, plan, ["mix_id", "source"], "l", "r"))  # plan has the rows of targets
-    known = known.filter((n > 0) & (F.col("l.turn") < n * F.coalesce("r.max_repeats", F.lit(0))))
+    fits = (n > 0) & (F.col("l.turn") < n * F.coalesce("r.max_repeats", F.lit(0)))
     block, repeat = F.pmod(F.col("l.turn"), n), F.floor(F.col("l.turn") / n)
     # each repeat starts elsewhere
     block = F.pmod(block + repeat * F.lit(7919), n)
-    slots = known.select("l.mix_id", "l.slot", "l.source", block.alias("block"), repeat.alias("repeat"), F.least(F.lit(block_tokens).cast("bigint"), F.col("r.size") - block * F.lit(block_tokens)).alias("tokens"))
-    got = slots.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), (F.max("repeat") + 1).alias("repeats"))
-    both = plan.alias("l").join(got.alias("r"), null_safe(plan, got, ["mix_id", "source"], "l", "r"), "left").select("l.*", F.coalesce("r.tokens", F.lit(0)).alias("tokens"), F.coalesce("r.repeats", F.lit(0)).alias("repeats"))
-    share = F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy("mix_id")))
-    report = both.select("mix_id", "source", "size", "target_weight", (F.col("target_weight") * F.col("budget_ratio") * F.lit(total)).alias("target_tokens"), "tokens", share.alias("share"), "repeats", "failed")
-    return slots, report
+    # an empty turn has no block, repeat and tokens
+    placed = known.select("l.mix_id", "l.slot", "l.source", F.when(fits, block).alias("block"), F.when(fits, repeat).alias("repeat"), F.when(fits, F.least(F.lit(block_tokens).cast("bigint"), F.col("r.size") - block * F.lit(block_tokens))).alias("tokens"))
+    got = placed.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("turns"), F.sum("tokens").alias("tokens"), (F.max("repeat") + 1).alias("repeats"))
+    kept = [F.coalesce(f"r.{c}", F.lit(0)).alias(c) for c in ("turns", "tokens", "repeats")]
+    both = plan.alias("l").join(got.alias("r"), null_safe(plan, got, ["mix_id", "source"], "l", "r"), "left").select("l.*", *kept)
+    mine = W.partitionBy("mix_id")
+    full = F.col("max_repeats") * (F.ceil(F.col("size") / F.lit(block_tokens)) - 1)
+    ran_out = (F.col("turns") + F.lit(DISCREPANCY)) * F.greatest(F.sum("target_weight").over(mine), F.lit(0.0)) >= full
+    exact = F.col("max_repeats") * F.col("size") < F.col("target_weight") * F.col("budget_ratio") * F.lit(total)
+    share = F.try_divide(F.col("tokens"), F.sum("tokens").over(mine))
+    report = both.select("mix_id", "source", "size", "target_weight", (F.col("target_weight") * F.col("budget_ratio") * F.lit(total)).alias("target_tokens"), "turns", "tokens", share.alias("share"), "repeats", (ran_out & exact).alias("failed"))
+    return placed.filter("tokens is not null"), report
 
 
 def reading_order(slots: DataFrame, parts: DataFrame) -> DataFrame:
@@ -120,13 +139,12 @@ def reading_order(slots: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _plan(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
-    """The targets with the sizes of their sources and failed, a written table of as many rows; and the size of all documents."""
+    """The targets with the sizes of their sources, a written table of as many rows; and the size of all documents."""
     per = materialise(sizes.groupBy("source").agg(F.sum("tokens").alias("size")))
     total = int(per.select(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     want = wanted(targets).fillna(0.0, ["target_weight", "budget_ratio"]).fillna(0, ["max_repeats"])
     plan = want.alias("l").join(per.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left").select("l.*", F.coalesce("r.size", F.lit(0)).cast("bigint").alias("size"))
-    failed = F.col("max_repeats") * F.col("size") < F.col("target_weight") * F.col("budget_ratio") * F.lit(total)
-    return materialise(plan.withColumn("failed", failed)), total
+    return materialise(plan), total
 
 
 def _inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +157,7 @@ def p8_schedule(spark, sf_dir: str) -> DataFrame:
 
 
 def p8_blocks(spark, sf_dir: str) -> DataFrame:
-    """The pieces of documents of every mix in reading order."""
+    """The mixed corpora: the pieces of documents of every mix in reading order."""
     sizes, targets = _inputs(spark, sf_dir)
     return reading_order(mix(sizes, targets)[0], blocks(sizes))
 
