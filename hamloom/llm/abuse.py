@@ -18,11 +18,11 @@ from hamloom.session import table
 
 #: The fit takes at most this many labelled documents (those with the smallest hashes).
 MAX_LABELLED = 12_000
-#: Bytes of a dictionary.
+#: Bytes of a dictionary. Windows of labelled documents that don't fit, the rarest, are left out (README: what that costs).
 DICTIONARY = 1_000_000
 #: Compression level; the high ones find short matches.
 LEVEL = 19
-#: Longest window, and the overlap of windows cut from a longer sentence, in characters.
+#: Longest window, the overlap of windows cut from a longer sentence, and the length below which a sentence joins another, in characters.
 WINDOW, OVERLAP, SHORTEST = 240, 80, 8
 #: With this many blanks, a window of a toxic document that the ordinary dictionary can't halve counts as toxic.
 NOVEL = 6
@@ -56,17 +56,27 @@ def canonical(text: str) -> str:
 
 
 def windows(text: str | None) -> list[str]:
-    """The distinct sentences of the canonical text; long ones are cut into overlapping parts, so all of it is covered."""
+    """The distinct sentences of the canonical text. Long ones are cut into overlapping parts; one under SHORTEST characters goes
+    with the sentence after it (the last with the one before), so every letter of the text lies in some window."""
     if not text:
         return []
     out: dict[str, None] = {}
+    held, last = "", ""
     for s in SENTENCE_END.split(canonical(text)):
         s = s.strip(" >*-\"'\n")
+        if held and s:
+            s, held = f"{held} {s}", ""
+        if 0 < len(s) < SHORTEST:
+            held = s
+            continue
         while len(s) > WINDOW:
             out[s[:WINDOW]] = None
             s = s[WINDOW - OVERLAP :]
-        if len(s) >= SHORTEST:
+        if s:
             out[s] = None
+            last = s
+    if held:
+        out[f"{last} {held}".strip()[-WINDOW:]] = None
     return list(out)
 
 
@@ -94,7 +104,11 @@ class Lengths:
 
 
 def dictionary(samples: Counter[str], size: int = DICTIONARY) -> bytes:
-    """Distinct windows, the most frequent ones last, where matches cost least; up to `size` bytes."""
+    """Distinct windows, the most frequent ones last, where matches cost least. Beyond `size` bytes the rarest are left out.
+
+    The windows themselves are the dictionary's content: one trained by zstandard's trainer keeps the fragments that many
+    samples share, and insults are rare (README: its figures).
+    """
     chosen, used = [], 0
     for w, _ in sorted(samples.items(), key=lambda x: (-x[1], x[0])):
         used += len(w.encode("utf-8", "replace")) + 1
