@@ -40,6 +40,14 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY run_id, strategy, type ORD
   FROM once WHERE v IS NOT NULL),
 pct AS (SELECT run_id, strategy, type, max(n) AS n, max(v) FILTER (r = (n + 1) // 2) AS p50, max(v) FILTER (r = (95 * n + 99) // 100) AS p95 FROM ordered GROUP BY ALL)"""
 
+#: Bounds of a double v by the upper 24 bits of its order key: the sign, 11 bits of the exponent and 12 of the mantissa.
+_LOW = "CASE WHEN v = 0 THEN 0 ELSE floor(v / pow(2, floor(log2(v)) - 12)) * pow(2, floor(log2(v)) - 12) END"
+_HIGH = f"CASE WHEN v = 0 THEN 0 ELSE {_LOW} + pow(2, floor(log2(v)) - 12) - 1e-9 END"
+
+#: The order of ids in a sample: a signed integer of the first 64 bits of a hash.
+_H = "('0x' || substr(sha256(coalesce(seed, '') || '/' || id), 1, 16))::UBIGINT"
+_ORDER = f"CASE WHEN {_H} >= 9223372036854775808 THEN {_H}::HUGEINT - 18446744073709551616 ELSE {_H}::HUGEINT END"
+
 _POOL = f"""{_MANIFEST},
 pool AS (SELECT id, split_id, CASE WHEN digest IN (SELECT digest FROM m WHERE role = 'reference' AND digest IS NOT NULL) THEN 'exact_ref' ELSE 'no_exact_ref' END AS category
   FROM m WHERE role = 'query_pool' AND digest IS NOT NULL),
@@ -48,6 +56,28 @@ want AS (SELECT split_id, category, max(coalesce(target, 0)) AS target, max(coal
   UNION ALL SELECT split_id, 'no_exact_ref', benchmark_groups.no_exact_ref, verify_groups.no_exact_ref FROM split_summary) GROUP BY ALL),
 have AS (SELECT split_id, category, count(*) AS n FROM pool GROUP BY ALL)"""
 
+#: Seats by listing every rank's priority.
+_SEATS = f"""{_POOL},
+plan AS (SELECT w.split_id, w.category, target, floor_, coalesce(n, 0) AS available, least(coalesce(n, 0), floor_) AS low,
+  sum(greatest(target, floor_)) OVER (PARTITION BY w.split_id) - sum(least(coalesce(n, 0), floor_)) OVER (PARTITION BY w.split_id) AS rest
+  FROM want w LEFT JOIN have h ON h.split_id IS NOT DISTINCT FROM w.split_id AND h.category = w.category),
+queue AS (SELECT split_id, category, rest, row_number() OVER (PARTITION BY split_id ORDER BY (r - 0.5) / target, category) AS k
+  FROM plan, unnest(generate_series(low + 1, available)) AS u(r) WHERE target > 0),
+extra AS (SELECT split_id, category, count(*) AS e FROM queue WHERE k <= rest GROUP BY ALL),
+seats AS (SELECT plan.*, low + coalesce(e, 0) AS drawn FROM plan LEFT JOIN extra ON extra.split_id IS NOT DISTINCT FROM plan.split_id AND extra.category = plan.category)"""
+
+_ARRIVALS = f"""{_MANIFEST}, {_TAGS},
+w AS (SELECT id, min(batch_no) AS batch_no, max({name_sql('type')}) AS type, max({hex_sql('tag_hex')}) AS tag FROM queries_verify_100 GROUP BY id),
+a AS (SELECT w.id, row_number() OVER (ORDER BY batch_no NULLS FIRST, w.id) AS i, digest, type, tag, {_words('tag')} FROM w LEFT JOIN m ON m.id = w.id),
+t AS (SELECT type, tag, {_words('tag')} FROM distinct_tags),
+old AS (SELECT id FROM a WHERE digest IN (SELECT digest FROM m WHERE role = 'reference' AND digest IS NOT NULL) OR id IN (SELECT a.id FROM a JOIN t ON a.type = t.type AND {_dist('a', 't')} <= 6)),
+open_ AS (SELECT *, row_number() OVER (ORDER BY i) AS j FROM a WHERE id NOT IN (SELECT id FROM old)),
+lk AS (SELECT x.j AS x, y.j AS y FROM open_ x JOIN open_ y ON y.j < x.j AND (x.digest = y.digest OR (x.type = y.type AND {_dist('x', 'y')} <= 6))),
+step AS (SELECT x AS j, row_number() OVER (ORDER BY x) AS k FROM (SELECT DISTINCT x FROM lk)),
+run AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS reps
+  UNION ALL SELECT step.k, CASE WHEN EXISTS (SELECT 1 FROM lk WHERE lk.x = step.j AND NOT list_contains(run.reps, lk.y)) THEN list_append(run.reps, step.j) ELSE run.reps END FROM run JOIN step ON step.k = run.k + 1),
+rp AS (SELECT id FROM open_ WHERE j IN (SELECT unnest(reps) FROM (SELECT reps FROM run ORDER BY k DESC LIMIT 1)) UNION ALL SELECT id FROM old)"""
+
 
 def queries() -> dict:
     """All queries of this subpackage."""
@@ -57,6 +87,7 @@ def queries() -> dict:
         "p1_days": quantiles.p1_days,
         "p2_found": neighbours.p2_found,
         "p2_neighbours": neighbours.p2_neighbours,
+        "p2_recall": neighbours.p2_recall,
         "p3_found": increments.p3_found,
         "p3_verdicts": increments.p3_verdicts,
         "p4_found": proportions.p4_found,
@@ -89,8 +120,19 @@ k AS (SELECT *, row_number() OVER (PARTITION BY type, tag ORDER BY distance, nea
     return {
         "p1_found": f"WITH {_ONCE} SELECT run_id, strategy, type FROM pct WHERE p95 >= 10 * p50",
         "p1_percentiles": f"WITH {_ONCE} SELECT run_id, strategy, type, n, p50, p95 FROM pct",
+        "p1_days": f"""WITH {_ONCE}, o AS (SELECT strategy, type, v::DOUBLE AS v, row_number() OVER (PARTITION BY strategy, type ORDER BY v) AS r, count(*) OVER (PARTITION BY strategy, type) AS n FROM once WHERE v IS NOT NULL),
+x AS (SELECT strategy, type, n, '0.5' AS q, v FROM o WHERE r = (n + 1) // 2 UNION ALL SELECT strategy, type, n, '0.95', v FROM o WHERE r = (95 * n + 99) // 100)
+SELECT strategy, type, n, q, round({_LOW}, 3) AS low, round({_HIGH}, 3) AS high FROM x""",
         "p2_found": f"{near} SELECT DISTINCT type, least(tag, near) AS tag_a, greatest(tag, near) AS tag_b FROM k WHERE rank <= 5 AND distance <= 48",
+        "p2_recall": f"""WITH {_TAGS}, t AS (SELECT type, tag, {_words('tag')} FROM distinct_tags), s AS (SELECT type, tag, {_words('tag')} FROM distinct_tags WHERE record_id % 50 = 0)
+SELECT s.type, count(DISTINCT s.tag) AS queries, count(DISTINCT s.tag) * least(5, max(n) - 1) AS wanted, true AS reached FROM s JOIN (SELECT type, count(*) AS n FROM t GROUP BY type) c ON c.type = s.type GROUP BY s.type HAVING max(n) > 1""",
+        "p3_found": f"WITH RECURSIVE {_ARRIVALS} SELECT id FROM rp",
+        "p3_verdicts": f"WITH RECURSIVE {_ARRIVALS} SELECT id, id IN (SELECT id FROM rp) AS repeat FROM a",
         "p4_found": f"WITH {_POOL} SELECT split_id, category FROM want LEFT JOIN have USING (split_id, category) WHERE coalesce(n, 0) < greatest(target, floor_)",
+        "p4_report": f"WITH {_SEATS} SELECT split_id, category, available, target::BIGINT AS target, floor_ AS floor, drawn::BIGINT AS drawn, drawn < greatest(target, floor_) AS short FROM seats",
+        "p4_sample": f"""WITH {_SEATS}, sd AS (SELECT split_id, max(sample_seed)::VARCHAR AS seed FROM split_summary GROUP BY split_id),
+r AS (SELECT pool.*, row_number() OVER (PARTITION BY pool.split_id, category ORDER BY {_ORDER}, id) AS k FROM pool JOIN sd ON sd.split_id = pool.split_id)
+SELECT r.split_id, r.category, id FROM r JOIN seats USING (split_id, category) WHERE k <= drawn""",
         "p6_found": f"{groups} SELECT group_id, r.record_id FROM comp JOIN t ON t.record_id = comp.node JOIN record_tags r ON r.type = t.type AND r.tag = t.tag",
         "p6_groups": f"{groups} SELECT t.type, t.tag, t.record_id, t.n, group_id FROM comp JOIN t ON t.record_id = comp.node",
     }
