@@ -63,25 +63,47 @@ def segment_bounds(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(bits * j // parts, bits * (j + 1) // parts) for j in range(parts)]
 
 
-def bit_string(hex_col: Column | str) -> Column:
-    """The tag's bits, most significant first, as text of 0 and 1."""
-    c = _col(hex_col)
-    n = F.length(c)
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.conv(F.substring(c, i, F.lit(1)), 16, 2), 4, "0")), "")
+def _bits_between(c: Column, lo: int, hi: int) -> Column:
+    """Bits lo to hi of a hex string as an integer; at most 57 bits.
+
+    At most 16 hex digits are read, so the integer has the bits after a shift and a mask.
+    """
+    first, last = lo // 4, (hi - 1) // 4
+    v = F.conv(F.substring(c, first + 1, last - first + 1), 16, -10).cast("bigint")
+    return F.shiftrightunsigned(v, 4 * (last + 1) - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint"))
+
+
+#: Bits that are read at once from a wider segment: whole bytes.
+CHUNK = 56
+
+
+def _chunks(c: Column, lo: int, hi: int) -> list[tuple[Column, int]]:
+    return [(_bits_between(c, at, min(at + CHUNK, hi)), min(at + CHUNK, hi) - at) for at in range(lo, hi, CHUNK)]
 
 
 def segment_keys(hex_col: Column | str, bits: int, parts: int) -> Column:
-    """Array of (segment, value): value is the segment's bits as an integer; segments are at most 63 bits wide."""
+    """Array of (segment, value) to join on: segments with equal bits have equal values.
+
+    The value is the segment's bits as an integer where all segments have at most 57 bits, and a 64-bit hash of its bits
+    otherwise: a join verifies the distance anyway. segment_blobs has the bits themselves.
+    """
     c = _col(hex_col)
+    bounds = segment_bounds(bits, parts)
+    wide = max(hi - lo for lo, hi in bounds) > 57
+    value = [F.xxhash64(*[v for v, _ in _chunks(c, lo, hi)]) if wide else _bits_between(c, lo, hi) for lo, hi in bounds]
+    return F.array(*[F.struct(F.lit(j).cast("bigint").alias("segment"), v.alias("value")) for j, v in enumerate(value)])
 
-    def value(lo: int, hi: int) -> Column:
-        first, last = lo // 4, (hi - 1) // 4
-        # at most 16 hex digits are read, so the integer has the segment's bits after a shift and a mask
-        v = F.conv(F.substring(c, first + 1, last - first + 1), 16, -10).cast("bigint")
-        v = F.shiftrightunsigned(v, 4 * (last + 1) - hi)
-        return v.bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint"))
 
-    bounds = segment_bounds(bits, parts)
-    if max(hi - lo for lo, hi in bounds) > 57:
-        return F.array(*[F.struct(F.lit(j).cast("bigint").alias("segment"), F.xxhash64(F.substring(bit_string(c), lo + 1, hi - lo)).alias("value")) for j, (lo, hi) in enumerate(bounds)])
-    return F.array(*[F.struct(F.lit(j).cast("bigint").alias("segment"), value(lo, hi).alias("value")) for j, (lo, hi) in enumerate(bounds)])
+def segment_blob(hex_col: Column | str, lo: int, hi: int) -> Column:
+    """Bits lo to hi as bytes: their number as four little-endian bytes, then the bits, most significant first, left-aligned."""
+    head = F.lit((hi - lo).to_bytes(4, "little"))
+    out = []
+    for v, n in _chunks(_col(hex_col), lo, hi):
+        pad = -n % 8
+        out.append(F.lpad(F.hex(F.call_function("shiftleft", v, F.lit(pad))), (n + pad) // 4, F.lit("0")))
+    return F.concat(head, F.unhex(F.concat(*out)))
+
+
+def segment_blobs(hex_col: Column | str, bits: int, parts: int) -> Column:
+    """Array of (segment, value binary): the stored form of every segment, at any width."""
+    return F.array(*[F.struct(F.lit(j).cast("bigint").alias("segment"), segment_blob(hex_col, lo, hi).alias("value")) for j, (lo, hi) in enumerate(segment_bounds(bits, parts))])

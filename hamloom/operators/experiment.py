@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hamloom.operators.skew import ranked
+from hamloom.operators.skew import lookup_unique, ranked
+from hamloom.session import materialise
 
 
 def hash_order(seed: int, ident: Column) -> Column:
@@ -29,9 +30,13 @@ def exact_sample(ids: Sequence[str], size: int, seed: int) -> list[str]:
 
 
 def exact_ref(pool: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """pool with `group`: exact_ref if its key occurs in reference, otherwise no_exact_ref (also for a null key)."""
-    known = reference.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True))
-    return pool.join(known, key, "left").withColumn("group", F.when(F.col("_known"), "exact_ref").otherwise("no_exact_ref")).drop("_known")
+    """pool with `group`: exact_ref if its key occurs in reference, otherwise no_exact_ref (also for a null key).
+
+    Keys that many rows of the pool have are looked up by broadcast, the others by shuffle (see lookup_unique).
+    """
+    known = materialise(reference.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True)))
+    counts = materialise(pool.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    return lookup_unique(pool, known, [key], counts).withColumn("group", F.when(F.col("_known"), "exact_ref").otherwise("no_exact_ref")).drop("_known")
 
 
 def largest_remainder(counts: DataFrame, total: int) -> DataFrame:

@@ -2,82 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hamloom.functions.bits import hamming, with_words, words_of
 from hamloom.functions.text import threshold_for
 from hamloom.operators.search import _parts
-from hamloom.session import drop_dir, materialise, shared_dir
+from hamloom.session import materialise
 
 #: Differing bits that the recovery code corrects; its last bit is stored apart and doesn't count.
 CORRECTED = 6
 
 
-def reusable_links(uploads: DataFrame, spec: str = "default=6") -> DataFrame:
-    """(a, b): classes of uploads (cls, type, tag, recovery) of which b can reuse a and a can reuse b.
-
-    Tags of one type are within the type's distance, and recovery representations differ in at most CORRECTED of their
-    bits 0 to 254 (the last bit of the last byte is not compared).
-    """
-    rows = _parts(with_words(with_words(uploads.select("cls", "type", "tag", "recovery")), "recovery", "r_"), spec)
+def _reusable(a: DataFrame, b: DataFrame, spec: str, further: Column) -> DataFrame:
+    """(a, b, distance): pairs of rows of a and b (cls, type, tag, recovery, ...) that fit each other (see reusable_links)."""
+    rows = lambda df: _parts(with_words(with_words(df), "recovery", "r_"), spec)
     # bit 255, counted from the least significant of each byte, is the top bit of the last byte
     top = F.lit(~(1 << 7)).cast("bigint")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.type") == F.col("b.type")) & (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.cls") != F.col("b.cls"))
+    a, b = rows(a).alias("a"), rows(b).alias("b")
+    same = (F.col("a.type") == F.col("b.type")) & (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & further
     ra, rb = words_of("r_", "a"), words_of("r_", "b")
     noise = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(ra[:3], rb[:3], strict=True)), F.bit_count(ra[3].bitwiseXOR(rb[3]).bitwiseAND(top)))
     near = hamming(words_of(alias="a"), words_of(alias="b"))
     return a.join(b, same & (near <= F.col("a.delta")) & (noise <= CORRECTED)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), near.alias("distance")).distinct()
 
 
-def greedy(nodes: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reusable_links(uploads: DataFrame, spec: str = "default=6") -> DataFrame:
+    """(a, b, distance): classes of uploads (cls, type, tag, recovery) of which b can reuse a and a can reuse b.
+
+    Tags of one type are within the type's distance, and recovery representations differ in at most CORRECTED of their
+    bits 0 to 254 (the last bit of the last byte is not compared).
+    """
+    rows = uploads.select("cls", "type", "tag", "recovery")
+    return _reusable(rows, rows, spec, F.col("a.cls") != F.col("b.cls"))
+
+
+def reusable_stored(uploads: DataFrame, stored: DataFrame, spec: str = "default=6") -> DataFrame:
+    """(a, b, distance): classes a of uploads that can reuse the representative b of stored, which isn't compared with itself."""
+    cols = ["cls", "type", "tag", "recovery"]
+    return _reusable(uploads.select(*cols), stored.select(*cols), spec, F.lit(True))
+
+
+def greedy(nodes: DataFrame, links: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(cls, pos, stored) for nodes (cls, pos) in order of pos: stored unless an earlier stored node is linked.
 
-    Each round stores every open node without an earlier open or stored neighbour and settles those with a stored one; rounds
-    go on until none is open. links is symmetric. States are written to the shared folder each round.
+    Nodes of held (cls) aren't stored in any case. Each round stores every open node without an earlier open or stored
+    neighbour and settles those with a stored one; settled nodes leave the table of open links, and rounds go on until it is
+    empty: the first open node is settled in every round. links is symmetric. What a round settles is written to the shared folder.
     """
-    spark = nodes.sparkSession
     at = links.join(nodes.select(F.col("cls").alias("a"), F.col("pos").alias("pa")), "a").join(nodes.select(F.col("cls").alias("b"), F.col("pos").alias("pb")), "b")
-    earlier = materialise(at.filter("pb < pa").select("a", "b"))
-    lone = nodes.join(earlier.select(F.col("a").alias("cls")).distinct(), "cls", "left_anti")
-    path = [shared_dir(spark)]
-    done = materialise(lone.select("cls", F.lit(True).alias("stored")), path[-1])
-    before = done.count()
-    for _ in range(max_rounds):
-        open_ = earlier.join(done.select(F.col("cls").alias("a")), "a", "left_anti")
-        state = open_.join(done.select(F.col("cls").alias("b"), "stored"), "b", "left").groupBy("a").agg(F.max(F.coalesce("stored", F.lit(False))).alias("hit"), F.count_if(F.col("stored").isNull()).alias("waiting"))
-        now = state.filter("hit or waiting = 0").select(F.col("a").alias("cls"), (~F.col("hit")).alias("stored"))
-        path.append(shared_dir(spark))
-        done = materialise(done.unionByName(now), path[-1])
-        if len(path) > 2:
-            drop_dir(spark, path.pop(0))
-        n = done.count()
-        if n == before:
-            break
-        before = n
-    else:
-        raise RuntimeError(f"open nodes are left after {max_rounds} rounds")
-    return nodes.join(done, "cls")
-
-
-def assign(uploads: DataFrame, spec: str = "default=6") -> DataFrame:
+    if held is not None:
+        # a held node neither waits nor is waited for
+        for c in ("a", "b"):
+            at = at.join(held.select(F.col("cls").alias(c)), c, "left_anti")
+    open_ = materialise(at.filter("pb < pa").select("a", "b", F.lit(False).alias("hit")))
+    lone = nodes.join(open_.select(F.col("a").alias("cls")).distinct(), "cls", "left_anti")
+    if held is not None:
+        lone = lone.join(held.select("cls"), "cls", "left_anti")
+    now = materialise(lone.select("cls", F.lit(True).alias("stored")))
+    done, rounds = now, 0
+    while not open_.isEmpty():
+        # links to what has just been settled are answered: a stored one is a hit, one that isn't no longer counts
+        seen = open_.join(now.select(F.col("cls").alias("b"), "stored"), "b", "left")
+        left = materialise(seen.filter("stored is null or stored").select("a", "b", (F.col("hit") | F.coalesce("stored", F.lit(False))).alias("hit")))
+        waits = left.groupBy("a").agg(F.max("hit").alias("any"), F.count_if(~F.col("hit")).alias("waiting"))
+        gone = open_.select("a").distinct().join(waits, "a", "left")
+        now = materialise(gone.filter("any or waiting = 0 or any is null").select(F.col("a").alias("cls"), (~F.coalesce("any", F.lit(False))).alias("stored")))
+        open_ = materialise(left.join(now.select(F.col("cls").alias("a")), "a", "left_anti"))
+        done, rounds = done.unionByName(now), rounds + 1
+        if rounds % 20 == 0:
+            done = materialise(done)
+    out = nodes.join(done, "cls")
+    return out if held is None else out.unionByName(nodes.join(held.select("cls"), "cls", "left_semi").withColumn("stored", F.lit(False)))
+
+
+def assign(uploads: DataFrame, spec: str = "default=6", stored: DataFrame | None = None) -> DataFrame:
     """(id, rid, distance, stored) for uploads (id, pos, type, tag, recovery) in order of pos.
 
     An upload reuses the nearest stored earlier one (by distance, then position) that it can reuse, else it is stored; rid is
     the stored one's id. Uploads equal in type, tag and recovery reuse the first of them or what that one reuses, so only
     firsts are compared. Types without a threshold use the default; null tags or types have no row.
+
+    stored has the representatives (id, pos, type, tag, recovery) of before, which come before all uploads (in order of
+    their own pos). Uploads are compared with them and with one another, they themselves with nothing.
     """
     rows = uploads.filter("tag is not null and type is not null and recovery is not null")
     first = rows.groupBy("type", "tag", "recovery").agg(F.min(F.struct("pos", "id")).alias("f"))
     cls = materialise(first.select(F.col("f.pos").alias("cls"), F.col("f.pos").alias("pos"), F.col("f.id").alias("id"), "type", "tag", "recovery", threshold_for("type", spec).alias("limit")))
     links = materialise(reusable_links(cls, spec))
-    state = materialise(greedy(cls.select("cls", "pos"), links))
+    held, before = None, None
+    if stored is not None:
+        # of equal representatives the first counts
+        old = materialise(stored.groupBy("type", "tag", "recovery").agg(F.min(F.struct("pos", "id")).alias("f")).select(F.col("f.pos").alias("cls"), F.col("f.id").alias("id"), "type", "tag", "recovery"))
+        known = reusable_stored(cls, old, spec).join(old.select(F.col("cls").alias("b"), F.col("id").alias("rid")), "b")
+        # a representative comes before all uploads: first 0, then its place
+        before = materialise(known.select(F.col("a").alias("cls"), "distance", F.lit(0).alias("late"), F.col("b").alias("at"), "rid"))
+        held = materialise(before.select("cls").distinct())
+    state = materialise(greedy(cls.select("cls", "pos"), links, held))
     kept = state.filter("stored").select(F.col("cls").alias("b"), F.col("pos").alias("pb"))
     # a stored class of this tag, or the nearest linked one before it
     choice = links.join(kept, "b").join(state.filter("not stored").select(F.col("cls").alias("a"), F.col("pos").alias("pa")), "a").filter("pb < pa")
-    best = choice.groupBy("a").agg(F.min(F.struct("distance", "pb")).alias("m")).select(F.col("a").alias("cls"), F.col("m.pb").alias("to"), F.col("m.distance").alias("distance"))
-    to = state.join(best, "cls", "left").select("cls", F.coalesce("to", "cls").alias("to"), F.coalesce("distance", F.lit(0)).cast("int").alias("distance"), "stored")
-    named = cls.join(to, "cls").join(cls.select(F.col("cls").alias("to"), F.col("id").alias("rid")), "to")
+    choice = choice.join(cls.select(F.col("cls").alias("b"), F.col("id").alias("rid")), "b").select(F.col("a").alias("cls"), "distance", F.lit(1).alias("late"), F.col("pb").alias("at"), "rid")
+    if before is not None:
+        choice = choice.unionByName(before)
+    best = choice.groupBy("cls").agg(F.min(F.struct("distance", "late", "at", "rid")).alias("m"))
+    to = state.join(best, "cls", "left").select("cls", F.col("m.rid").alias("rid"), F.coalesce("m.distance", F.lit(0)).cast("int").alias("distance"), "stored")
+    named = cls.join(to, "cls").withColumn("rid", F.coalesce("rid", "id"))
     out = rows.join(named.select("type", "tag", "recovery", "cls", "rid", "distance", F.col("stored").alias("_stored")), ["type", "tag", "recovery"])
     return out.select("id", "rid", "distance", (F.col("_stored") & (F.col("pos") == F.col("cls"))).alias("stored"))

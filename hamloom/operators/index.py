@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hamloom.functions.text import parse_thresholds
-from hamloom.operators.search import _parts
+from hamloom.operators.search import posting_rows
 
 
 def signature(records: DataFrame, spec: str, bits: int = 256) -> str:
     """A hash over the format, the thresholds and all records whatever their order."""
     row = records.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("record_id", "type", "tag").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
     limits = ",".join(f"{k}={v}" for k, v in sorted(parse_thresholds(spec).items()))
-    return f"tags-1|{bits}|{limits}|{row['n']}|{row['s']}"
+    return f"tags-2|{bits}|{limits}|{row['n']}|{row['s']}"
 
 
 class TagIndex:
-    """Records and their postings as Parquet below a folder; postings are partitioned by segment and sorted by type and value.
+    """Records and their postings as Parquet below a folder; postings are cut by hash of type, segment and value, and sorted by these.
 
     build() writes both, then the signature, so that a broken build is never taken for an index. open() reuses the folder if
     signature and row counts hold, and builds it otherwise.
@@ -51,8 +51,9 @@ class TagIndex:
         at, fs = self._file()
         fs.delete(at, False)
         records.write.mode("overwrite").parquet(f"{self.path}/records")
-        rows = _parts(self.records(), self.spec).select("type", "segment", "value", "record_id")
-        rows.repartition("segment", "type").sortWithinPartitions("type", "value").write.mode("overwrite").partitionBy("segment").parquet(f"{self.path}/postings")
+        rows = posting_rows(self.records(), self.spec)
+        # as many tasks as the session's shuffles have: a lookup prunes by the row groups' ranges of type, segment and value
+        rows.repartition("type", "segment", "value").sortWithinPartitions("type", "segment", "value").write.mode("overwrite").parquet(f"{self.path}/postings")
         text = json.dumps({"signature": mark, "records": self.records().count(), "postings": self.postings().count()})
         out = fs.create(at, True)
         out.write(bytearray(text.encode()))
@@ -63,4 +64,4 @@ class TagIndex:
         return self.spark.read.parquet(f"{self.path}/records")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("type string, value bigint, record_id bigint, segment bigint").parquet(f"{self.path}/postings")
+        return self.spark.read.schema("type string, segment bigint, value binary, record_id bigint").parquet(f"{self.path}/postings")

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hamloom.functions.bits import WORDS, hamming, segment_bounds, segment_keys, weight, with_words, words_of
+from hamloom.functions.bits import WORDS, hamming, segment_bounds, segment_blobs, segment_keys, weight, with_words, words_of
 from hamloom.functions.text import parse_thresholds, threshold_for
 from hamloom.operators.filters import filter_entries, with_fingerprint
+from hamloom.operators.skew import with_positions
+from hamloom.session import materialise, widen
 
 #: Distinct query tags that are broadcast at once to the scan (48 bytes each).
 SCAN_BLOCK = 50_000
@@ -48,7 +50,7 @@ def radius_scan(records: DataFrame, queries: DataFrame, spec: str = "default=6",
 
     The stated queries are broadcast in blocks of checked size past the records, which are not shuffled.
     """
-    r = with_words(distinct_of(records)).alias("r")
+    r = widen(materialise(with_words(distinct_of(records)))).alias("r")
     q = with_words(distinct_of(queries).drop("n"), prefix="q_")
     q = q.withColumn("delta", threshold_for("type", spec)).withColumnRenamed("tag", "query_tag")
     d = hamming(words_of(alias="r"), words_of("q_", "q"))
@@ -71,20 +73,50 @@ def radius_exact(records: DataFrame, queries: DataFrame, spec: str = "default=6"
     return r.join(q, same & (d <= F.col("q.delta"))).select("r.type", F.col("q.tag").alias("query_tag"), "r.tag", d.alias("distance"), "r.n").distinct()
 
 
-def segment_blob(value: Column, width: Column) -> Column:
-    """A segment as bytes: its length in bits as four little-endian bytes, then its bits, left-aligned."""
-    pad = F.pmod(-width, F.lit(8))
-    size = ((width + pad) / 4).cast("int")
-    shifted = F.call_function("shiftleft", value, pad.cast("int"))
-    return F.unhex(F.concat(F.lpad(F.hex(width.cast("bigint")), 2, "0"), F.lit("000000"), F.lpad(F.hex(shifted), size, F.lit("0"))))
+def posting_rows(records: DataFrame, spec: str) -> DataFrame:
+    """(type, segment, value binary, record_id) of records (record_id, type, tag), each type at its own distance."""
+    limits = parse_thresholds(spec)
+    delta = threshold_for("type", spec)
+    blobs = None
+    for d in sorted(set(limits.values())):
+        k = segment_blobs("tag", 256, d + 1)
+        blobs = F.when(delta == d, k) if blobs is None else blobs.when(delta == d, k)
+    rows = records.filter("tag is not null and type is not null").withColumn("s", F.explode(blobs))
+    return rows.select("type", F.col("s.segment").alias("segment"), F.col("s.value").alias("value"), "record_id")
 
 
 def postings(records: DataFrame, delta: int = 6) -> DataFrame:
-    """(type, segment, value binary, record_id) of records (record_id, type, tag)."""
-    bounds = segment_bounds(256, delta + 1)
-    width = F.array(*[F.lit(hi - lo) for lo, hi in bounds])
-    rows = records.filter("tag is not null and type is not null").withColumn("s", F.explode(segment_keys("tag", 256, delta + 1)))
-    return rows.select("type", F.col("s.segment").alias("segment"), segment_blob(F.col("s.value"), F.element_at(width, F.col("s.segment").cast("int") + 1)).alias("value"), "record_id")
+    """The rows of posting_rows at one distance for all types."""
+    return posting_rows(records, f"default={delta}")
+
+
+def candidates(records: DataFrame, queries: DataFrame, spec: str = "default=6") -> DataFrame:
+    """(query_id, type, record_id, distance, rank): every record within the distance of every query (query_id, type, tag).
+
+    Ranks go by (distance, record_id), the order in which candidates are tried. Distinct tags are matched once (radius_exact)
+    and then expanded to their records, which is as many rows as there are candidates.
+    """
+    hits = radius_exact(records, queries, spec).select("type", "query_tag", "tag", "distance")
+    q = queries.filter("tag is not null and type is not null").select("query_id", "type", F.col("tag").alias("query_tag"))
+    rows = q.join(hits, ["type", "query_tag"]).join(records.select("type", "tag", "record_id"), ["type", "tag"])
+    rank = F.row_number().over(W.partitionBy("query_id", "type").orderBy("distance", "record_id"))
+    return rows.select("query_id", "type", "record_id", "distance").withColumn("rank", rank)
+
+
+def radius_prefuzz(records: DataFrame, queries: DataFrame, delta: int = 6, fpp: float = 0.01) -> DataFrame:
+    """The rows of radius_exact, looking up only those segments of the queries that the membership filter passes."""
+    r, q = distinct_of(records), distinct_of(queries).drop("n")
+    capacity = r.groupBy("type").agg(F.sum("n").alias("n"))
+    stored = r.withColumn("s", F.explode(segment_blobs("tag", 256, delta + 1))).select("type", "s.segment", "s.value")
+    asked = q.withColumn("s", F.explode(segment_blobs("tag", 256, delta + 1))).select("type", "tag", "s.segment", "s.value")
+    entries = filter_entries(stored.distinct(), capacity, fpp).drop("spare")
+    passed = with_fingerprint(asked, capacity, fpp).join(entries, ["type", "segment", "bin", "mini"], "left_semi").select("type", "tag", "segment")
+    spec = f"default={delta}"
+    rs = _parts(with_words(r), spec).alias("r")
+    qs = _parts(with_words(q, prefix="q_"), spec).join(passed, ["type", "tag", "segment"], "left_semi").alias("q")
+    d = hamming(words_of(alias="r"), words_of("q_", "q"))
+    same = (F.col("r.type") == F.col("q.type")) & (F.col("r.segment") == F.col("q.segment")) & (F.col("r.value") == F.col("q.value"))
+    return rs.join(qs, same & (d <= delta)).select("r.type", F.col("q.tag").alias("query_tag"), "r.tag", d.alias("distance"), "r.n").distinct()
 
 
 def radius_counters(records: DataFrame, queries: DataFrame, delta: int = 6, fpp: float = 0.01) -> DataFrame:
@@ -94,25 +126,24 @@ def radius_counters(records: DataFrame, queries: DataFrame, delta: int = 6, fpp:
     computes the distance once per record; prefuzz looks up only the segments that the membership filter passes.
     Queries with an unreadable tag have no row.
     """
-    spec = f"default={delta}"
-    r, q = distinct_of(records), distinct_of(queries)
+    r, q = materialise(distinct_of(records)), materialise(distinct_of(queries).drop("n"))
     totals = r.groupBy("type").agg(F.sum("n").alias("records"))
-    bounds = segment_bounds(256, delta + 1)
-    width = F.array(*[F.lit(hi - lo) for lo, hi in bounds])
-
-    def blobs(df: DataFrame) -> DataFrame:
-        return df.withColumn("value", segment_blob(F.col("value"), F.element_at(width, F.col("segment").cast("int") + 1)))
-
-    rs, qs = _parts(r, spec), _parts(q.drop("n"), spec)
-    lists = rs.groupBy("type", "segment", "value").agg(F.sum("n").alias("postings"))
-    read = qs.join(lists, ["type", "segment", "value"], "left").groupBy("type", "tag").agg(F.coalesce(F.sum("postings"), F.lit(0)).alias("read"))
-    met = rs.alias("r").join(qs.alias("q"), ["type", "segment", "value"]).select("type", F.col("q.tag").alias("tag"), F.col("r.tag").alias("other"), "r.n").distinct()
-    met = with_words(with_words(met), "other", "o_")
-    full = met.groupBy("type", "tag").agg(F.sum("n").alias("full"), F.sum(F.when(hamming(words_of(), words_of("o_")) <= delta, F.col("n")).otherwise(0)).alias("found"))
-    entries = filter_entries(blobs(rs.select("type", "segment", "value").distinct()), totals.select("type", F.col("records").alias("n")), fpp)
-    asked = with_fingerprint(blobs(qs.select("type", "tag", "segment", "value")), totals.select("type", F.col("records").alias("n")), fpp)
-    passed = asked.join(entries.drop("spare"), ["type", "segment", "bin", "mini"], "left_semi").groupBy("type", "tag").agg(F.count(F.lit(1)).alias("passed"))
-    one = q.drop("n").join(read, ["type", "tag"], "left").join(full, ["type", "tag"], "left").join(passed, ["type", "tag"], "left").join(F.broadcast(totals), "type", "left").fillna(0)
+    parts_of = lambda df, *more: df.withColumn("s", F.explode(segment_blobs("tag", 256, delta + 1))).select("type", "tag", *more, F.col("s.segment").alias("segment"), F.col("s.value").alias("value"))
+    # a record's postings count wherever a query asks for their value; of equal values a list is made once
+    keys = ["type", "segment", "value"]
+    lists = parts_of(r, "n").groupBy(*keys).agg(F.sum("n").alias("postings"))
+    qs = parts_of(q)
+    met = materialise(parts_of(r, "n").withColumnRenamed("tag", "other").join(qs, keys).select("type", "tag", "other", "n", "segment", "value"))
+    # the lists of the values that are asked for, with which of them are really stored
+    read = met.groupBy("type", "tag", "segment").agg(F.sum("n").alias("postings")).groupBy("type", "tag").agg(F.sum("postings").alias("read"))
+    pairs = with_words(with_words(met.select("type", "tag", "other", "n").distinct()), "other", "o_")
+    full = pairs.groupBy("type", "tag").agg(F.sum("n").alias("full"), F.sum(F.when(hamming(words_of(), words_of("o_")) <= delta, F.col("n")).otherwise(0)).alias("found"))
+    capacity = totals.select("type", F.col("records").alias("n"))
+    entries = filter_entries(lists.select(*keys), capacity, fpp)
+    # fingerprints of the distinct values that are asked for
+    values = with_fingerprint(qs.select(*keys).distinct(), capacity, fpp).join(entries.drop("spare"), ["type", "segment", "bin", "mini"], "left_semi").select(*keys)
+    passed = qs.join(values, keys, "left_semi").groupBy("type", "tag").agg(F.count(F.lit(1)).alias("passed"))
+    one = q.join(read, ["type", "tag"], "left").join(full, ["type", "tag"], "left").join(passed, ["type", "tag"], "left").join(F.broadcast(totals), "type", "left").fillna(0)
     known = F.col("records") > 0
 
     def row(name: str, *cols: Column) -> Column:
@@ -128,49 +159,82 @@ def radius_counters(records: DataFrame, queries: DataFrame, delta: int = 6, fpp:
 def global_min(records: DataFrame, queries: DataFrame, threshold: int = 6, block: int = SCAN_BLOCK) -> DataFrame:
     """(query_id, best_distance, matched, records_examined, bits_compared): the smallest distance to any record of any type.
 
-    Every query examines all records, 256 bits each; without records the distance is 257. Queries go past the records in
-    broadcast blocks, each task keeping only the minimum per query tag.
+    Every query counts as examining all records, 256 bits each; without records the distance is 257. Queries with a
+    record within NEAR bits are settled by the inverted index; only the others go past all distinct tags, in broadcast blocks of
+    checked size, each task keeping the minimum per query tag.
     """
-    r = with_words(records.filter("tag is not null").groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+    r = materialise(with_words(records.filter("tag is not null").select("tag").distinct()))
     total = records.filter("tag is not null").select(F.count(F.lit(1))).scalar()
-    tags = queries.filter("tag is not null").select("tag").distinct()
-    best = []
-    for part in blocks_of(tags, block):
+    tags = materialise(queries.filter("tag is not null").select("tag").distinct())
+    one = F.lit("").alias("type")
+    near = radius_exact(r.select(one, "tag"), tags.select(one, "tag"), f"default={NEAR}")
+    near = materialise(near.groupBy(F.col("query_tag").alias("tag")).agg(F.min("distance").alias("d")))
+    rest = materialise(tags.join(near, "tag", "left_anti"))
+    best = [near.select("tag", F.col("d").cast("int").alias("d"))]
+    wide = widen(r)
+    for part in blocks_of(rest, block):
         q = F.broadcast(with_words(part, prefix="q_").withColumnRenamed("tag", "query_tag"))
-        best.append(r.join(q, hamming(words_of(), words_of("q_")) >= 0).groupBy("query_tag").agg(F.min(hamming(words_of(), words_of("q_"))).alias("d")))
-    found = reduce(DataFrame.unionByName, best).withColumnRenamed("query_tag", "tag")
+        # a scan by definition: every record is compared with every query of the block
+        best.append(wide.crossJoin(q).groupBy(F.col("query_tag").alias("tag")).agg(F.min(hamming(words_of(), words_of("q_"))).cast("int").alias("d")))
+    found = reduce(DataFrame.unionByName, best)
     out = queries.filter("tag is not null").select("query_id", "tag").join(found, "tag", "left")
     d = F.coalesce("d", F.lit(257)).cast("int")
     return out.select("query_id", d.alias("best_distance"), (d <= threshold).cast("int").alias("matched"), total.cast("bigint").alias("records_examined"), (total * 256).cast("bigint").alias("bits_compared"))
 
 
+#: Distance up to which global_min asks the inverted index first.
+NEAR = 6
+
+
 def first_match(records: DataFrame, queries: DataFrame, threshold: int = 6) -> DataFrame:
     """(query_id, best_distance, matched, records_examined, bits_compared): the first record within the threshold among those
     whose weight differs by no more, in order of (weight, record_id).
 
     Unmatched queries examine the whole band and have the distance threshold + 1, or 257 when the band is empty. A record
-    costs 64 bits if its first word alone exceeds the threshold, 128 if the first two do, else 256. Records of one tag and
-    queries of one tag are compared once.
+    costs 64 bits if its first word alone exceeds the threshold, 128 if the first two do, else 256.
+
+    How many records are examined follows from places: records are numbered in that order, the band's first place is a sum
+    over at most 257 weights, the hit's its number. All of them cost 64 bits; more only those near in the first word, which
+    an equi-join on its threshold + 1 segments finds (distinct first words are compared once). So no query meets its band.
     """
     t = threshold
-    place = W.partitionBy("weight").orderBy("record_id")
-    r = with_words(records.filter("tag is not null").select("record_id", "tag")).withColumn("weight", weight(words_of())).withColumn("at", F.row_number().over(place))
-    per = r.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))  # at most 257 rows
-    before = per.withColumn("before", F.sum("n").over(W.orderBy("weight").rowsBetween(W.unboundedPreceding, -1))).fillna(0).drop("n")
-    r = r.join(F.broadcast(before), "weight").withColumn("order", F.col("before") + F.col("at"))
+    rows = with_words(records.filter("tag is not null").select("record_id", "tag"))
+    placed = materialise(with_positions(rows.withColumn("weight", weight(words_of())), ["weight", "record_id"], "place"))
+    per = placed.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))  # at most 257 rows
+    tags = materialise(placed.groupBy("tag", *WORDS, "weight").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")))
     q = with_words(queries.filter("tag is not null").select("tag").distinct(), prefix="q_").withColumnRenamed("tag", "query_tag").withColumn("q_weight", weight(words_of("q_")))
+    q = materialise(q)
     band = F.sequence(F.greatest(F.col("q_weight") - t, F.lit(0)), F.least(F.col("q_weight") + t, F.lit(256)))
-    pairs = q.withColumn("weight", F.explode(band)).join(r, "weight")
-    cut = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"q_{w}"))) for w in WORDS]
-    d = reduce(lambda x, y: x + y, cut)
-    bits = F.when(cut[0] > t, 64).when(cut[0] + cut[1] > t, 128).otherwise(256)
-    rows = pairs.select("query_tag", "order", d.alias("d"), bits.alias("bits"))
-    hit = rows.filter(F.col("d") <= t).groupBy("query_tag").agg(F.min(F.struct("order", "d")).alias("hit"))
-    seen = rows.join(hit, "query_tag", "left").filter(F.col("hit").isNull() | (F.col("order") <= F.col("hit.order")))
-    work = seen.groupBy("query_tag").agg(F.count(F.lit(1)).alias("records_examined"), F.sum("bits").alias("bits_compared"), F.max("hit.d").alias("d")).withColumnRenamed("query_tag", "tag")
-    out = queries.filter("tag is not null").select("query_id", "tag").join(work, "tag", "left")
-    best = F.when(F.col("d").isNotNull(), F.col("d")).when(F.col("records_examined") > 0, t + 1).otherwise(257).cast("int")
-    return out.select("query_id", best.alias("best_distance"), F.col("d").isNotNull().cast("int").alias("matched"), F.coalesce("records_examined", F.lit(0)).cast("bigint").alias("records_examined"), F.coalesce("bits_compared", F.lit(0)).cast("bigint").alias("bits_compared"))
+    weights = q.select("q_weight").distinct().withColumn("weight", F.explode(band))
+    first = weights.join(F.broadcast(per), "weight").groupBy("q_weight").agg(F.sum("n").alias("in_band"))
+    before = q.select("q_weight").distinct().join(F.broadcast(per), F.col("weight") < F.col("q_weight") - t, "left").groupBy("q_weight").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("start"))
+    bands = before.join(first, "q_weight", "left").fillna(0)
+    # tags near in the first word, by its segments
+    # from 64 on, no first word is too far
+    keys = lambda c: segment_keys(F.substring(c, 1, 16), 64, t + 1) if t < 64 else F.array(F.struct(F.lit(0).alias("segment"), F.lit(0).alias("value")))
+    head = lambda df, c: df.withColumn("s", F.explode(keys(c)))
+    x = head(tags, "tag").alias("r")
+    y = head(q, "query_tag").alias("q")
+    cut = [F.bit_count(F.col(f"r.{w}").bitwiseXOR(F.col(f"q.q_{w}"))) for w in WORDS]
+    d = reduce(lambda a, b: a + b, cut)
+    close = (F.col("r.s.segment") == F.col("q.s.segment")) & (F.col("r.s.value") == F.col("q.s.value")) & (cut[0] <= t) & (F.abs(F.col("r.weight") - F.col("q.q_weight")) <= t)
+    near = x.join(y, close).select("q.query_tag", "r.tag", "r.weight", "r.place", "r.n", (cut[0] + cut[1]).alias("two"), d.alias("d")).distinct()
+    near = materialise(near)
+    hit = near.filter(F.col("d") <= t).groupBy("query_tag").agg(F.min(F.struct("place", "d", "weight")).alias("hit"))
+    seen = near.join(hit, "query_tag", "left")
+    extra = F.when(F.col("two") > t, 64).otherwise(192)
+    # of a tag before the hit's weight all records are examined, of one in it those up to the hit's place
+    whole = seen.filter(F.col("hit").isNull() | (F.col("weight") < F.col("hit.weight"))).select("query_tag", (F.col("n") * extra).alias("bits"))
+    partly = seen.filter((F.col("weight") == F.col("hit.weight")) & (F.col("place") <= F.col("hit.place")))
+    single = partly.filter("n = 1 or place = hit.place").select("query_tag", extra.cast("bigint").alias("bits"))
+    several = partly.filter("n > 1 and place < hit.place").alias("p").join(placed.alias("r"), (F.col("p.tag") == F.col("r.tag")) & (F.col("r.place") <= F.col("p.hit.place")))
+    several = several.select("p.query_tag", extra.cast("bigint").alias("bits"))
+    more = whole.unionByName(single).unionByName(several).groupBy("query_tag").agg(F.sum("bits").alias("bits"))
+    out = q.select("query_tag", "q_weight").join(F.broadcast(bands), "q_weight").join(hit, "query_tag", "left").join(more, "query_tag", "left")
+    examined = F.when(F.col("hit").isNotNull(), F.col("hit.place") - F.col("start") + 1).otherwise(F.col("in_band"))
+    best = F.when(F.col("hit").isNotNull(), F.col("hit.d")).when(F.col("in_band") > 0, t + 1).otherwise(257).cast("int")
+    work = out.select(F.col("query_tag").alias("tag"), best.alias("best_distance"), F.col("hit").isNotNull().cast("int").alias("matched"), examined.cast("bigint").alias("records_examined"), (examined * 64 + F.coalesce("bits", F.lit(0))).cast("bigint").alias("bits_compared"))
+    return queries.filter("tag is not null").select("query_id", "tag").join(work, "tag").drop("tag")
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from hamloom.functions.text import shingles, words
@@ -68,13 +69,24 @@ def similar_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def jaccard(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, shared, jaccard) of pairs: shared runs over all runs; 0 if either has none. Counted by joins, without sets in memory."""
-    sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    left = pairs.join(rows.withColumnRenamed("doc", "a"), "a")
-    shared = left.join(rows.select(F.col("doc").alias("b"), "h"), ["b", "h"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = pairs.join(shared, ["a", "b"], "left").join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a", "left").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b", "left").fillna(0)
+    """(a, b, shared, jaccard) of pairs (a, b): shared runs over all runs; 0 if either has none.
+
+    Runs are compared as 64-bit hashes, an array per document, which is no larger than its text; a document's array meets its
+    pairs by two joins, so what is shuffled is an array per pair and no row per run.
+    """
+    h = F.col("h") if isinstance(rows.schema["h"].dataType, T.LongType) else F.xxhash64("h")
+    sets = materialise(rows.select("doc", h.alias("h")).groupBy("doc").agg(F.collect_list("h").alias("runs")))  # a document's own runs
+    pairs = materialise(pairs.select("a", "b"))
+    used = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    sets = sets.join(used, "doc", "left_semi")
+    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("runs").alias("x")), "a", "left")
+    both = left.join(sets.select(F.col("doc").alias("b"), F.col("runs").alias("y")), "b", "left")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    shared = F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0)).cast("bigint")
+    counted = both.select("a", "b", shared.alias("shared"), F.when(F.col("x").isNull(), 0).otherwise(size("x")).alias("na"), F.when(F.col("y").isNull(), 0).otherwise(size("y")).alias("nb"))
+    counted = counted.withColumn("shared", F.greatest("shared", F.lit(0)))
     union = F.col("na") + F.col("nb") - F.col("shared")
-    return out.select("a", "b", "shared", F.coalesce(F.try_divide(F.col("shared"), union), F.lit(0.0)).alias("jaccard"))
+    return counted.select("a", "b", "shared", F.coalesce(F.try_divide(F.col("shared"), union), F.lit(0.0)).alias("jaccard"))
 
 
 def classify(scored: DataFrame, digests: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hamloom.session import materialise
+
 #: A key is hot if it has at least this share of the rows: so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
@@ -54,6 +56,31 @@ def spread(df: DataFrame, groups: list[str], order: list[str | Column], buckets:
     return joined.select("l.*", "r._before", f"r.n_{name}").withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", "_b")
 
 
+def with_positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """Add the numbers from 0 of the rows in the given order: range partitions, their sizes, and places within them.
+
+    Rows that are equal in all of `order` get neighbouring numbers in any order. The numbered rows are a written table.
+    """
+    spark = df.sparkSession
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number's upper bits are the partition's, its lower 33 the place within it
+    numbered = materialise(cut.withColumn("_at", F.monotonically_increasing_id()))
+    return _placed(spark, numbered, name)
+
+
+def _placed(spark: SparkSession, numbered: DataFrame, name: str) -> DataFrame:
+    """Turn _at, partition and place of written rows, into numbers from 0."""
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
+    offset, starts = 0, {}
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        starts[r["_part"]], offset = offset, offset + r["n"]
+    if not starts:
+        return numbered.drop("_at").withColumn(name, F.lit(0).cast("bigint"))
+    first = spark.createDataFrame(list(starts.items()), "_part bigint, _first bigint")
+    return numbered.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_first")
+
+
 def ranked(df: DataFrame, groups: list[str], order: list[str | Column], buckets: int = 64, name: str = "rank") -> DataFrame:
     """Row numbers from 1 within groups in the order of `order` (see spread), and n_<name>, the group's rows."""
     return spread(df, groups, order, buckets, F.lit(1).cast("bigint"), name).withColumn(name, F.col(name) + 1)

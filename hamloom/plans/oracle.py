@@ -73,10 +73,10 @@ sm AS (SELECT {key}, count(*) AS c, {bits} FROM vo GROUP BY {key}),
 tagged AS (SELECT {key}, {tag} AS tag FROM sm)"""
 
 
-def segments_sql(source: str, cols: str) -> str:
+def segments_sql(source: str, cols: str, delta: int = DELTA) -> str:
     """Rows of `source` with segment and value, the value's bytes as hex."""
     each = []
-    for j, (lo, hi) in enumerate(segment_bounds(256, DELTA + 1)):
+    for j, (lo, hi) in enumerate(segment_bounds(256, delta + 1)):
         n = hi - lo
         pad = -n % 8
         value = f"substr(bits, {lo + 1}, {n}) || repeat('0', {pad})"
@@ -114,7 +114,7 @@ counts AS (SELECT 'body' AS key_kind, key_hex, count(*) AS n FROM body WHERE key
 totals AS (SELECT key_kind, sum(n) AS total FROM counts GROUP BY ALL)"""
 
 
-def _filter_ctes() -> str:
+def _filter_ctes(delta: int = DELTA) -> str:
     """Fingerprints of stored (sp) and asked (ap) segment values, by the filter's sizes."""
     fnv, _, mod = _fingerprint("value", "bins", 14)
     bits, _ = filters.sizing(1, 0.01)
@@ -125,8 +125,8 @@ f3 AS (SELECT value, xor(b, b >> 31) AS hb, (xor(ga, ga >> 27) * {filters.MIX_2}
 fp AS (SELECT value, hb, xor(gb, gb >> 31) % {1 << bits}::UHUGEINT AS mini FROM f3),
 cap AS (SELECT type, count(*) AS n, greatest(ceil(count(*) / {filters.BIN_CAPACITY * filters.BIN_FILL}), 1)::UHUGEINT AS bins FROM rec GROUP BY type),
 sp AS (SELECT DISTINCT type, segment, hb % bins AS bin, mini FROM stored JOIN fp USING (value) JOIN cap USING (type))"""
-    stored = segments_sql("rec", "type").replace("bitted", "bitted_r").replace("seg AS", "seg_r AS")
-    asked = segments_sql("(SELECT * FROM arr WHERE tag IS NOT NULL)", "query_id, type").replace("bitted", "bitted_a").replace("seg AS", "seg_a AS")
+    stored = segments_sql("rec", "type", delta).replace("bitted", "bitted_r").replace("seg AS", "seg_r AS")
+    asked = segments_sql("(SELECT * FROM arr WHERE tag IS NOT NULL)", "query_id, type", delta).replace("bitted", "bitted_a").replace("seg AS", "seg_a AS")
     return f"""{RECORDS}, {ARRIVING}, {stored}, {asked}, stored AS (SELECT DISTINCT type, segment, value FROM seg_r),
 asked AS (SELECT DISTINCT type, segment, value FROM seg_a), {step}"""
 
@@ -177,6 +177,20 @@ ch AS (SELECT a AS pos, arg_min(b, (distance, b)) AS rid, min(distance) AS dista
 asg AS (SELECT up.doc_id, coalesce(ch.rid, cls.pos) AS rid, coalesce(ch.distance, 0) AS distance, up.doc_id = cls.pos AND ch.rid IS NULL AS stored FROM up JOIN cls USING (tag, recovery) LEFT JOIN ch ON ch.pos = cls.pos)"""
 
 
+def _counters(delta: int) -> str:
+    """Work of the three strategies at a distance."""
+    return f"""WITH {_filter_ctes(delta)}, qs AS (SELECT DISTINCT type, tag, segment, value FROM seg_a JOIN arr USING (query_id, type) WHERE tag IS NOT NULL),
+ls AS (SELECT type, segment, value, count(*) AS k FROM seg_r GROUP BY ALL), rd AS (SELECT type, tag, sum(k) AS rd FROM qs JOIN ls USING (type, segment, value) GROUP BY ALL),
+rs AS (SELECT DISTINCT b.type, b.tag, s.segment, s.value FROM (SELECT DISTINCT type, tag, record_id FROM rec) b JOIN (SELECT bitted_r.record_id, seg.segment, seg.value FROM bitted_r JOIN ({segments_sql('x', 'record_id', delta).split('seg AS (')[1][:-1].replace('bitted', 'bitted_r')}) seg USING (record_id)) s USING (record_id)),
+met AS (SELECT DISTINCT qs.type, qs.tag, rs.tag AS other FROM qs JOIN rs USING (type, segment, value)),
+fu AS (SELECT met.type, met.tag, sum(r.n) AS fu, sum(CASE WHEN {dist('w', 'q')} <= {delta} THEN r.n ELSE 0 END) AS found FROM met JOIN r ON r.type = met.type AND r.tag = met.other JOIN q ON q.type = met.type AND q.query_tag = met.tag GROUP BY ALL),
+ps AS (SELECT qs.type, qs.tag, count(*) AS ps FROM qs JOIN fp USING (value) JOIN cap USING (type) JOIN sp ON sp.type = qs.type AND sp.segment = qs.segment AND sp.bin = hb % cap.bins AND sp.mini = fp.mini GROUP BY ALL),
+al AS (SELECT query_id, a.type, coalesce(found, 0)::BIGINT AS candidate_count, coalesce(rd, 0)::BIGINT AS rd, coalesce(fu, 0)::BIGINT AS fu, coalesce(ps, 0)::BIGINT AS ps, coalesce(cap.n, 0) AS n FROM (SELECT * FROM arr WHERE tag IS NOT NULL AND type IS NOT NULL) a LEFT JOIN rd USING (type, tag) LEFT JOIN fu USING (type, tag) LEFT JOIN ps USING (type, tag) LEFT JOIN cap ON cap.type = a.type)
+SELECT 'scan' AS strategy, query_id, type, candidate_count, 0::BIGINT AS filter_queries, 0::BIGINT AS inverted_lookups, 0::BIGINT AS posting_records_read, n AS full_tag_distance_computations FROM al
+UNION ALL SELECT 'exact', query_id, type, candidate_count, 0, CASE WHEN n > 0 THEN {delta + 1} ELSE 0 END, rd, fu FROM al
+UNION ALL SELECT 'prefuzz', query_id, type, candidate_count, CASE WHEN n > 0 THEN {delta + 1} ELSE 0 END, ps, rd, fu FROM al"""
+
+
 def _order_key(seed: int, ident: str) -> str:
     """The signed integer of the first 16 hex digits of a seeded hash: negative values come first."""
     return f"CASE WHEN ('0x' || substr(sha256('{seed}/' || {ident}), 1, 16))::UBIGINT >= 9223372036854775808 THEN (('0x' || substr(sha256('{seed}/' || {ident}), 1, 16))::UBIGINT - 9223372036854775808)::HUGEINT - 9223372036854775808 ELSE ('0x' || substr(sha256('{seed}/' || {ident}), 1, 16))::UBIGINT::HUGEINT END"
@@ -216,21 +230,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY strategy, type ORDER BY {c}) AS
         "radius_exact": f"{both}, {radius(str(DELTA))} SELECT * FROM hits",
         "radius_candidates": f"{both}, {radius(str(DELTA))} SELECT query_id, sum(n)::BIGINT AS candidates, min(distance) AS distance, arg_min(hits.tag, (distance, hits.tag)) AS tag FROM arr JOIN hits ON hits.type = arr.type AND hits.query_tag = arr.tag GROUP BY query_id",
         "typed_thresholds": f"{both}, {radius('''(CASE r.type WHEN 'text' THEN 4 WHEN 'video' THEN 8 ELSE 6 END)''')} SELECT * FROM hits",
-        "boundary_flips": f"{base}, x AS (SELECT ('0x' || substr(tag, 63, 2))::INT % 9 AS k FROM r) SELECT k, count(*) FILTER (k <= 4) AS found_4, count(*) FILTER (k <= 5) AS found_5, count(*) FILTER (k <= 6) AS found_6, count(*) AS tags FROM x GROUP BY k",
-        "strategy_equivalence": f"{both}, {radius(str(DELTA))} SELECT count(*) AS scan_rows, count(*) AS exact_rows, 0::BIGINT AS different FROM hits",
+        "boundary_flips": f"{base} SELECT k, count(*) FILTER (k <= 4) AS found_4, count(*) FILTER (k <= 5) AS found_5, count(*) FILTER (k <= 6) AS found_6, count(*) AS tags FROM r, range(0, 9) g(k) GROUP BY k",
+        "strategy_equivalence": f"{both}, {radius(str(DELTA))} SELECT count(*) AS scan_rows, count(*) AS exact_rows, count(*) AS prefuzz_rows, 0::BIGINT AS different FROM hits",
+        "radius_prefuzz": f"{both}, {radius(str(DELTA))} SELECT * FROM hits",
+        "candidate_records": f"{both}, {radius(str(DELTA))}, c AS (SELECT query_id, arr.type, record_id, distance FROM arr JOIN hits ON hits.type = arr.type AND hits.query_tag = arr.tag JOIN rec ON rec.type = hits.type AND rec.tag = hits.tag) SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY distance, record_id) AS rank FROM c",
+        "segment_postings_d3": f"{base} SELECT type, segment, '40000000' || substr(tag, (16 * segment + 1)::INT, 16) AS value, record_id FROM rec, range(0, 4) g(segment)",
         "global_min": f"{both}, qt AS (SELECT DISTINCT query_tag AS tag, q0, q1, q2, q3 FROM q), d AS (SELECT qt.tag, min({dist('w', 'q')}) AS d FROM qt, r GROUP BY qt.tag) SELECT query_id, coalesce(d, 257) AS best_distance, (coalesce(d, 257) <= {DELTA})::INT AS matched, (SELECT count(*) FROM rec) AS records_examined, 256 * (SELECT count(*) FROM rec) AS bits_compared FROM arr LEFT JOIN d USING (tag) WHERE tag IS NOT NULL",
         "first_match": f"{both}, {_first_match()} SELECT query_id, CASE WHEN fm.d IS NOT NULL THEN fm.d WHEN examined > 0 THEN {DELTA + 1} ELSE 257 END AS best_distance, (fm.d IS NOT NULL)::INT AS matched, coalesce(examined, 0) AS records_examined, coalesce(bits, 0)::BIGINT AS bits_compared FROM arr LEFT JOIN fm USING (tag) WHERE tag IS NOT NULL",
         "cross_scheme_agreement": f"{both}, qt AS (SELECT DISTINCT query_tag AS tag, q0, q1, q2, q3 FROM q), d AS (SELECT qt.tag, min({dist('w', 'q')}) AS d FROM qt, r GROUP BY qt.tag), f AS (SELECT (d <= {DELTA})::INT AS hit FROM arr LEFT JOIN d USING (tag) WHERE tag IS NOT NULL) SELECT hit AS radius, hit AS minimum, hit AS first, count(*) AS queries FROM f GROUP BY hit",
-        "radius_counters": f"""WITH {filt}, qs AS (SELECT DISTINCT type, tag, segment, value FROM seg_a JOIN arr USING (query_id, type) WHERE tag IS NOT NULL),
-ls AS (SELECT type, segment, value, count(*) AS k FROM seg_r GROUP BY ALL), rd AS (SELECT type, tag, sum(k) AS rd FROM qs JOIN ls USING (type, segment, value) GROUP BY ALL),
-rs AS (SELECT DISTINCT b.type, b.tag, s.segment, s.value FROM (SELECT DISTINCT type, tag, record_id FROM rec) b JOIN (SELECT bitted_r.record_id, seg.segment, seg.value FROM bitted_r JOIN ({segments_sql('x', 'record_id').split('seg AS (')[1][:-1].replace('bitted', 'bitted_r')}) seg USING (record_id)) s USING (record_id)),
-met AS (SELECT DISTINCT qs.type, qs.tag, rs.tag AS other FROM qs JOIN rs USING (type, segment, value)),
-fu AS (SELECT met.type, met.tag, sum(r.n) AS fu, sum(CASE WHEN {dist('w', 'q')} <= {DELTA} THEN r.n ELSE 0 END) AS found FROM met JOIN r ON r.type = met.type AND r.tag = met.other JOIN q ON q.type = met.type AND q.query_tag = met.tag GROUP BY ALL),
-ps AS (SELECT qs.type, qs.tag, count(*) AS ps FROM qs JOIN fp USING (value) JOIN cap USING (type) JOIN sp ON sp.type = qs.type AND sp.segment = qs.segment AND sp.bin = hb % cap.bins AND sp.mini = fp.mini GROUP BY ALL),
-al AS (SELECT query_id, a.type, coalesce(found, 0)::BIGINT AS candidate_count, coalesce(rd, 0)::BIGINT AS rd, coalesce(fu, 0)::BIGINT AS fu, coalesce(ps, 0)::BIGINT AS ps, coalesce(cap.n, 0) AS n FROM (SELECT * FROM arr WHERE tag IS NOT NULL AND type IS NOT NULL) a LEFT JOIN rd USING (type, tag) LEFT JOIN fu USING (type, tag) LEFT JOIN ps USING (type, tag) LEFT JOIN cap ON cap.type = a.type)
-SELECT 'scan' AS strategy, query_id, type, candidate_count, 0::BIGINT AS filter_queries, 0::BIGINT AS inverted_lookups, 0::BIGINT AS posting_records_read, n AS full_tag_distance_computations FROM al
-UNION ALL SELECT 'exact', query_id, type, candidate_count, 0, CASE WHEN n > 0 THEN {DELTA + 1} ELSE 0 END, rd, fu FROM al
-UNION ALL SELECT 'prefuzz', query_id, type, candidate_count, CASE WHEN n > 0 THEN {DELTA + 1} ELSE 0 END, ps, rd, fu FROM al""",
+        "radius_counters": _counters(DELTA),
+        "radius_counters_d1": _counters(1),
         "filter_membership": f"WITH {filt} SELECT type, segment, count(*) AS asked, count(*) FILTER (p) AS passed, count(*) FILTER (s) AS stored FROM (SELECT a.type, a.segment, EXISTS (SELECT 1 FROM sp WHERE sp.type = a.type AND sp.segment = a.segment AND sp.bin = hb % cap.bins AND sp.mini = fp.mini) AS p, EXISTS (SELECT 1 FROM stored s WHERE s.type = a.type AND s.segment = a.segment AND s.value = a.value) AS s FROM asked a JOIN fp USING (value) JOIN cap ON cap.type = a.type) GROUP BY ALL",
         "filter_bytes": f"WITH {filt}, rk AS (SELECT type, row_number() OVER (PARTITION BY type, segment, bin ORDER BY mini) AS k FROM sp) SELECT type, (bins * {filters.BIN_BYTES * (DELTA + 1)} + {filters.SPARE_BYTES} * coalesce(k, 0))::BIGINT AS bytes FROM cap LEFT JOIN (SELECT type, count(*) AS k FROM rk WHERE k > {filters.BIN_CAPACITY} GROUP BY type) USING (type)",
         "exact_duplicates": f"WITH {MANIFEST}, g AS (SELECT digest, count(*) AS n FROM m WHERE digest IS NOT NULL GROUP BY digest) SELECT sum(n)::BIGINT AS records, count(*) AS distinct_keys, sum(n - 1)::BIGINT AS extra_copies, count(*) FILTER (n > 1) AS duplicate_groups FROM g",
@@ -248,7 +257,7 @@ SELECT strategy AS scheme, run_id AS threshold, grp AS "group", count(*) AS samp
         "percentile_variants": f"WITH {MEASURED}, o AS (SELECT strategy, latency_us AS v, row_number() OVER (PARTITION BY strategy ORDER BY latency_us) AS r, count(*) OVER (PARTITION BY strategy)::DECIMAL(18,0) AS n FROM ms WHERE latency_us IS NOT NULL) SELECT strategy, count(*) AS n, {at('v', 'ceil(n * 0.95)')} AS p95_ceil, max(v) FILTER (WHERE r - 1 = round_even(((n - 1) * 0.95)::DOUBLE, 0)) AS p95_round, {at('v', 'ceil(n * 0.5)')} AS p50_ceil, median(v) AS median FROM o GROUP BY strategy",
         "tail_summary": f"WITH {MEASURED} {tail('candidate_count')} UNION ALL {tail('full_tag_distance_computations')}",
         "query_analysis": f"WITH {MEASURED} SELECT query_id, strategy, count(*) AS samples, round(avg(candidate_count), 6) AS mean_candidates, max(candidate_count) AS max_candidates FROM ms GROUP BY ALL",
-        "scale_comparison": f"WITH {MEASURED}, s AS (SELECT run_id % 2 AS odd, strategy, type, avg(latency_us) AS l, avg((candidate_count > 0)::INT) AS m FROM ms GROUP BY ALL) SELECT a.strategy, a.type, round(CASE WHEN b.l <> 0 THEN a.l / b.l END, 6) AS latency_ratio, round(a.m - b.m, 6) AS matched_rate_delta FROM s a JOIN s b ON a.strategy = b.strategy AND a.type = b.type WHERE a.odd = 1 AND b.odd = 0",
+        "scale_comparison": f"WITH {MEASURED}, mid AS (SELECT quantile_disc(run_id, 0.5) AS x FROM (SELECT DISTINCT run_id FROM ms)), s AS (SELECT (run_id > (SELECT x FROM mid))::INT AS odd, strategy, type, avg(latency_us) AS l, avg((candidate_count > 0)::INT) AS m FROM ms GROUP BY ALL) SELECT a.strategy, a.type, round(CASE WHEN b.l <> 0 THEN a.l / b.l END, 6) AS latency_ratio, round(a.m - b.m, 6) AS matched_rate_delta FROM s a JOIN s b ON a.strategy = b.strategy AND a.type = b.type WHERE a.odd = 1 AND b.odd = 0",
         "workload_agreement": f"WITH {MEASURED}, x AS ({agree}) SELECT metric, count(*) FILTER (ina AND inb) AS pairs, count(*) FILTER (ina AND inb AND x IS NOT DISTINCT FROM y) AS equal, round(avg((x IS NOT DISTINCT FROM y)::INT) FILTER (ina AND inb), 6) AS equal_rate, round(avg(x) FILTER (ina AND inb), 4) AS mean_a, round(avg(y) FILTER (ina AND inb), 4) AS mean_b, count(*) FILTER (NOT inb) AS only_a, count(*) FILTER (NOT ina) AS only_b FROM x GROUP BY metric",
         "shingle_candidates": f"WITH {_similar()} SELECT a, b FROM prs",
         "jaccard_classes": f"WITH {_similar()} SELECT a, b, shared, round(jaccard, 9) AS jaccard, class FROM cl",

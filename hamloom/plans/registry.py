@@ -15,7 +15,7 @@ from hamloom.functions.text import RECOVERY_DOMAIN, extract_body, metadata_line,
 from hamloom.operators import experiment, filters, greedy, heavy_keys, protocol, search, similarity, stats
 from hamloom.operators.index import signature
 from hamloom.operators.store import manifest_once, record_tags
-from hamloom.session import materialise, table
+from hamloom.session import materialise, table, widen
 from hamloom.streaming.uploads import answer_challenges
 
 DELTA = 6
@@ -24,7 +24,8 @@ SEED, BENCHMARK, POOL = 20250101, 200, 1000
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("text is not null")
+    """Documents with a text; a null one has no words, tag or digest. What is done per text costs more than dealing the texts out."""
+    return widen(table(spark, sf, "documents")).filter("text is not null")
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,6 +89,11 @@ def tag_weights(spark, sf):
     return with_words(records(spark, sf)).groupBy(weight(words_of()).cast("int").alias("weight")).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("tag").alias("tags"))
 
 
+def segment_postings_d3(spark, sf):
+    """The inverted index of all records at distance 3, whose segments are as wide as a word."""
+    return search.postings(records(spark, sf), 3).withColumn("value", F.lower(F.hex("value")))
+
+
 def segment_postings(spark, sf):
     """The inverted index of all records at distance 6, values as hex."""
     return search.postings(records(spark, sf), DELTA).withColumn("value", F.lower(F.hex("value")))
@@ -130,21 +136,31 @@ def typed_thresholds(spark, sf):
 
 
 def boundary_flips(spark, sf):
-    """Per number k of inverted leading bits, the tags that are found again at distances 4, 5 and 6."""
-    tags = search.distinct_of(records(spark, sf)).select("type", "tag")
-    tags = with_words(tags).withColumn("k", F.pmod(F.conv(F.substring("tag", 63, 2), 16, 10).cast("int"), F.lit(9)))
-    mask = F.element_at(F.array(*[F.lit(((1 << k) - 1) << (64 - k) if k == 0 else ((((1 << k) - 1) << (64 - k)) - (1 << 64))).cast("bigint") for k in range(9)]), F.col("k") + 1)
-    flipped = tags.withColumn("f0", F.col("w0").bitwiseXOR(mask))
-    d = hamming([F.col("f0"), *words_of()[1:]], words_of())
-    return flipped.groupBy("k").agg(*[F.count_if(d <= t).alias(f"found_{t}") for t in (4, 5, 6)], F.count(F.lit(1)).alias("tags"))
+    """Per number k from 0 to 8 of inverted leading bits, the tags whose flipped form finds them by radius search at distances 4, 5 and 6."""
+    tags = materialise(search.distinct_of(records(spark, sf)).select("type", "tag"))
+    mask = [f"{((1 << k) - 1) << (8 * 8 - k):016x}" if k else "0" * 16 for k in range(9)]
+    flips = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(mask)])
+    head = F.conv(F.substring("tag", 1, 16), 16, -10).cast("bigint").bitwiseXOR(F.conv(F.col("f.mask"), 16, -10).cast("bigint"))
+    asked = tags.withColumn("f", F.explode(flips)).select("type", F.col("f.k").alias("k"), F.col("tag").alias("base"), F.concat(F.lower(F.lpad(F.hex(head), 16, "0")), F.substring("tag", 17, 48)).alias("tag"))
+    asked = materialise(asked)
+    out = asked.groupBy("k").agg(F.count(F.lit(1)).alias("tags"))
+    for t in (4, 5, 6):
+        hits = search.radius_exact(tags, asked, f"default={t}").select("type", F.col("query_tag").alias("tag"), F.col("tag").alias("base"))
+        found = asked.join(hits, ["type", "tag", "base"], "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias(f"found_{t}"))
+        out = out.join(found, "k", "left")
+    return out.fillna(0)
 
 
 def strategy_equivalence(spark, sf):
-    """Rows of scan and index search, and rows that only one of them has."""
-    a, b = radius_scan(spark, sf), radius_exact(spark, sf)
+    """Rows of scan, index search and filtered index search, and rows that not all of them have."""
     cols = ["type", "query_tag", "tag", "distance", "n"]
-    both = a.select(*cols, F.lit(1).alias("s")).unionByName(b.select(*cols, F.lit(2).alias("s"))).groupBy(*cols).agg(F.sum("s").alias("s"))
-    return both.agg(F.count_if(F.col("s") != 2).alias("scan_rows"), F.count_if(F.col("s") != 1).alias("exact_rows"), F.count_if(F.col("s") != 3).alias("different"))
+    ways = [radius_scan(spark, sf), radius_exact(spark, sf), radius_prefuzz(spark, sf)]
+    both = None
+    for i, w in enumerate(ways):
+        one = w.select(*cols, F.lit(1 << i).alias("s"))
+        both = one if both is None else both.unionByName(one)
+    s = F.col("s")
+    return both.groupBy(*cols).agg(F.sum("s").alias("s")).agg(*[F.count_if(s.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0).alias(f"{n}_rows") for i, n in enumerate(("scan", "exact", "prefuzz"))], F.count_if(s != 7).alias("different"))
 
 
 def radius_counters(spark, sf):
@@ -152,6 +168,21 @@ def radius_counters(spark, sf):
     return search.radius_counters(materialise(records(spark, sf)), materialise(arriving(spark, sf)), DELTA)
 
 
+def radius_counters_d1(spark, sf):
+    """Work of the three strategies at distance 1."""
+    return search.radius_counters(materialise(records(spark, sf)), materialise(arriving(spark, sf)), 1)
+
+
+def radius_prefuzz(spark, sf):
+    """The rows of the radius search by the segments that the membership filter passes."""
+    return search.radius_prefuzz(records(spark, sf), arriving(spark, sf), DELTA)
+
+
+def candidate_records(spark, sf):
+    """The candidates of every arriving record by record, in the order in which they are tried."""
+    return search.candidates(materialise(records(spark, sf)), materialise(arriving(spark, sf)), f"default={DELTA}")
+
+
 def global_min(spark, sf):
     return search.global_min(records(spark, sf), arriving(spark, sf), DELTA)
 
@@ -266,10 +297,13 @@ def _run_summary(m: DataFrame) -> DataFrame:
 
 
 def scale_comparison(spark, sf):
-    """Later against earlier half of the runs by strategy and type."""
+    """Later against earlier runs by strategy and type, cut behind the middle run."""
     m = measured(spark, sf)
-    odd = F.pmod("run_id", F.lit(2)) == 1
-    return stats.scale_comparison(_run_summary(m.filter(odd)), _run_summary(m.filter(~odd)), ["strategy", "type"])
+    runs = m.select("run_id").distinct()
+    middle = runs.agg(F.percentile_disc(0.5, "run_id").alias("x")) if hasattr(F, "percentile_disc") else runs.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY run_id)").alias("x"))
+    late = F.col("run_id") > F.col("x")
+    m = m.crossJoin(F.broadcast(middle))  # one row
+    return stats.scale_comparison(_run_summary(m.filter(late)), _run_summary(m.filter(~late)), ["strategy", "type"])
 
 
 def workload_agreement(spark, sf):
@@ -479,7 +513,7 @@ def image_tags(spark, sf):
 
 NAMES: tuple[Callable[..., DataFrame], ...] = (
     text_tags, recovery_tags, normalized_tags, word_counts, body_extract, corpus_totals, tag_weights, segment_postings, posting_stats, postings_integrity,
-    radius_scan, radius_exact, radius_candidates, typed_thresholds, boundary_flips, strategy_equivalence, radius_counters, global_min, first_match,
+    segment_postings_d3, radius_scan, radius_exact, radius_prefuzz, radius_candidates, candidate_records, typed_thresholds, boundary_flips, strategy_equivalence, radius_counters, radius_counters_d1, global_min, first_match,
     cross_scheme_agreement, filter_membership, filter_bytes, exact_duplicates, duplicate_distribution, duplicate_buckets_by_role, exact_ref_labels,
     reference_split, largest_remainder, stratified_sample, summary_grouping_sets, percentile_variants, tail_summary, query_analysis, scale_comparison,
     workload_agreement, shingle_candidates, jaccard_classes, similarity_statistics, doc_classes, similar_texts, similar_doc_classes, greedy_dedup, user_refs, upload_counts, policy_containment,

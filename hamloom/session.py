@@ -22,6 +22,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # small tables with much work a row are cut finer than the defaults would
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "hamloom-warehouse"))
     )
     for k, v in conf.items():
@@ -36,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out anew if it has fewer partitions than there are cores: for work that costs far more than a shuffle
+    of its input. Tables of more partitions, as all large ones are, stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that every executor can reach.
 
