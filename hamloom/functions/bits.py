@@ -39,6 +39,17 @@ def words_of(prefix: str = "", alias: str | None = None) -> list[Column]:
     return [F.col(f"{dot}{prefix}{w}") for w in WORDS]
 
 
+def distance_until(a: Column | str, b: Column | str, limit: int) -> Column:
+    """Differing bits of two hex tags of one length, byte by byte until they exceed limit: exact up to it, else a count above it."""
+    a, b = _col(a), _col(b)
+
+    def step(acc: Column, i: Column) -> Column:
+        byte = lambda x: F.conv(F.substring(x, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return F.when(acc > limit, acc).otherwise(acc + F.bit_count(byte(a).bitwiseXOR(byte(b))))
+
+    return F.when(F.length(a) > 0, F.aggregate(F.sequence(F.lit(0), (F.length(a) / 2 - 1).cast("int")), F.lit(0), step)).otherwise(F.lit(0))
+
+
 def weight(words: list[Column]) -> Column:
     """Number of set bits."""
     return reduce(lambda x, y: x + y, [F.bit_count(w) for w in words])

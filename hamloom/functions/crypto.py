@@ -139,6 +139,44 @@ def verify(key: bytes, message: bytes, signature: bytes) -> bool:
     return not ((left[0] * right[2] - right[0] * left[2]) % P25519 or (left[1] * right[2] - right[1] * left[2]) % P25519)
 
 
+# --- 1-of-2 oblivious transfer on the same curve (Chou and Orlandi, 2015)
+
+
+def _scalar(secret: bytes) -> int:
+    return int.from_bytes(hashlib.sha512(secret).digest(), "little") % ORDER or 1
+
+
+def _minus(p: tuple) -> tuple:
+    return P25519 - p[0], p[1], p[2], P25519 - p[3]
+
+
+def transfer_offer(secret: bytes) -> tuple[int, bytes]:
+    """The sender's number and the point that it sends."""
+    a = _scalar(secret)
+    return a, _pack(_times(a, _base()))
+
+
+def transfer_choose(secret: bytes, offer: bytes, choice: int) -> tuple[bytes, bytes]:
+    """(reply, key) of a receiver who chooses message 0 or 1."""
+    point = _unpack(offer)
+    if point is None or choice not in (0, 1):
+        raise ValueError("bad offer or choice")
+    b = _scalar(secret)
+    reply = _times(b, _base())
+    if choice:
+        reply = _add(reply, point)
+    return _pack(reply), hashlib.sha256(_pack(_times(b, point))).digest()
+
+
+def transfer_keys(sender: tuple[int, bytes], reply: bytes) -> tuple[bytes, bytes]:
+    """The keys of both messages; the receiver has one of them, the sender doesn't know which."""
+    a, offer = sender
+    point, own = _unpack(reply), _unpack(offer)
+    if point is None or own is None:
+        raise ValueError("bad reply")
+    return tuple(hashlib.sha256(_pack(_times(a, p))).digest() for p in (point, _add(point, _minus(own))))
+
+
 # --- BCH(255, 207) correcting 6 errors, Toeplitz hashing, and the extractor made of both
 
 CODE, MESSAGE, ERRORS = 255, 207, 6

@@ -8,6 +8,8 @@ import numpy as np
 
 from hamloom.functions.crypto import fields_hash
 
+# Terms of a projection, frequencies they are drawn from, and the shifts of the generator that draws them.
+TERMS, LOW_FREQUENCIES, SHIFTS = 24, 1024, (13, 7, 17)
 #: Domain of the secret projections; pass another system's to reproduce its representations.
 PROJECTION_DOMAIN = "media-projection/v1"
 
@@ -47,15 +49,15 @@ def public_tag(pixels: np.ndarray) -> bytes:
 
 @lru_cache(4)
 def _projections(domain: str) -> np.ndarray:
-    out = np.zeros((256, 1024))
+    out = np.zeros((256, LOW_FREQUENCIES))
     mask = (1 << 64) - 1
     for b in range(256):
         s = int.from_bytes(fields_hash(domain, str(b).encode())[:8], "big")
-        for _ in range(24):
-            s ^= s << 13 & mask
-            s ^= s >> 7
-            s ^= s << 17 & mask
-            out[b, s % 1024] += 1 if s >> 63 else -1
+        for _ in range(TERMS):
+            s ^= s << SHIFTS[0] & mask
+            s ^= s >> SHIFTS[1]
+            s ^= s << SHIFTS[2] & mask
+            out[b, s % LOW_FREQUENCIES] += 1 if s >> 63 else -1
     return out
 
 
@@ -73,3 +75,10 @@ def video_tag(frames: list[bytes]) -> bytes:
     chosen = [frames[i * len(frames) // take] for i in range(take)]
     ones = np.unpackbits(np.frombuffer(b"".join(chosen), np.uint8).reshape(take, -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * ones >= take, bitorder="little").tobytes()
+
+
+def as_image(values: np.ndarray) -> np.ndarray:
+    """All values of a vector as rows of a picture as near to a square as its length allows."""
+    n = len(values)
+    high = next(h for h in range(max(1, int(n**0.5)), 0, -1) if n % h == 0) if n else 0
+    return np.asarray(values, float).reshape(high, -1) if n else np.zeros((1, 1))

@@ -134,3 +134,11 @@ def metadata_line(c: Column | str) -> Column:
     """The map of a line such as "records=4, bytes=10": names to values as text."""
     pairs = F.regexp_extract_all(_col(c), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)=([^,\s]+)"), 0)
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.substring_index(p, "=", -1))))
+
+
+def typed_value(c: Column | str) -> Column:
+    """struct(whole, real, text): the one that the text is read as is set: a whole number, else a real one, else text."""
+    x = _col(c)
+    whole = F.when(x.rlike(r"^[+-]?[0-9]+\z"), x.try_cast("bigint"))
+    real = F.when(whole.isNull() & x.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"), x.try_cast("double"))
+    return F.struct(whole.alias("whole"), real.alias("real"), F.when(whole.isNull() & real.isNull(), x).alias("text"))

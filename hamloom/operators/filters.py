@@ -86,3 +86,13 @@ def filter_bytes(entries: DataFrame, capacity: DataFrame, segments: int) -> Data
     bins = F.greatest(F.ceil(F.col("n") / F.lit(BIN_CAPACITY * BIN_FILL)), F.lit(1)).cast("bigint")
     spare = entries.filter("spare").groupBy("type").agg(F.count(F.lit(1)).alias("spares"))
     return capacity.join(spare, "type", "left").select("type", (bins * F.lit(BIN_BYTES * segments) + F.coalesce("spares", F.lit(0)) * F.lit(SPARE_BYTES)).cast("bigint").alias("bytes"))
+
+
+def bloom_positions(value: Column, hashes: int, bits: int) -> Column:
+    """The bits of a Bloom filter that a binary value sets: for i from 0, the first 64 bits of SHA-256 over the value and i (four
+    big-endian bytes), modulo `bits`."""
+    def place(i: Column) -> Column:
+        digest = F.sha2(F.concat(value, F.unhex(F.lpad(F.hex(i.cast("bigint")), 8, "0"))), 256)
+        return F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(bits).cast("decimal(20,0)")).cast("bigint")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), place)

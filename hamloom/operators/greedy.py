@@ -80,8 +80,9 @@ def assign(uploads: DataFrame, spec: str = "default=6", stored: DataFrame | None
     """(id, rid, distance, stored) for uploads (id, pos, type, tag, recovery) in order of pos.
 
     An upload reuses the nearest stored earlier one (by distance, then position) that it can reuse, else it is stored; rid is
-    the stored one's id. Uploads equal in type, tag and recovery reuse the first of them or what that one reuses, so only
-    firsts are compared. Types without a threshold use the default; null tags or types have no row.
+    the stored one's id. Of uploads equal in type, tag and recovery only the first can be stored, so only firsts are
+    compared; each of the others reuses the nearest of what is stored before itself. ids and pos are unique. Types without a
+    threshold use the default; null tags or types have no row.
 
     stored has the representatives (id, pos, type, tag, recovery) of before, which come before all uploads (in order of
     their own pos). Uploads are compared with them and with one another, they themselves with nothing.
@@ -93,20 +94,19 @@ def assign(uploads: DataFrame, spec: str = "default=6", stored: DataFrame | None
     held, before = None, None
     if stored is not None:
         # of equal representatives the first counts
-        old = materialise(stored.groupBy("type", "tag", "recovery").agg(F.min(F.struct("pos", "id")).alias("f")).select(F.col("f.pos").alias("cls"), F.col("f.id").alias("id"), "type", "tag", "recovery"))
+        old = stored.groupBy("type", "tag", "recovery").agg(F.min(F.struct("pos", "id")).alias("f")).select(F.col("f.pos").alias("cls"), F.col("f.id").alias("id"), "type", "tag", "recovery")
         known = reusable_stored(cls, old, spec).join(old.select(F.col("cls").alias("b"), F.col("id").alias("rid")), "b")
         # a representative comes before all uploads: first 0, then its place
         before = materialise(known.select(F.col("a").alias("cls"), "distance", F.lit(0).alias("late"), F.col("b").alias("at"), "rid"))
-        held = materialise(before.select("cls").distinct())
-    state = materialise(greedy(cls.select("cls", "pos"), links, held))
-    kept = state.filter("stored").select(F.col("cls").alias("b"), F.col("pos").alias("pb"))
-    # a stored class of this tag, or the nearest linked one before it
-    choice = links.join(kept, "b").join(state.filter("not stored").select(F.col("cls").alias("a"), F.col("pos").alias("pa")), "a").filter("pb < pa")
-    choice = choice.join(cls.select(F.col("cls").alias("b"), F.col("id").alias("rid")), "b").select(F.col("a").alias("cls"), "distance", F.lit(1).alias("late"), F.col("pb").alias("at"), "rid")
+        held = before.select("cls").distinct()
+    state = greedy(cls.select("cls", "pos"), links, held)
+    # what an upload of a class can reuse: stored classes that are linked to it, and the class itself if it is stored
+    kept = cls.join(state.filter("stored").select("cls"), "cls").select(F.col("cls").alias("b"), F.col("pos").alias("at"), F.col("id").alias("rid"))
+    option = lambda df: df.select("cls", "distance", F.lit(1).alias("late"), "at", "rid")
+    options = option(links.withColumnRenamed("a", "cls").join(kept, "b")).unionByName(option(kept.withColumnRenamed("b", "cls").withColumn("distance", F.lit(0))))
     if before is not None:
-        choice = choice.unionByName(before)
-    best = choice.groupBy("cls").agg(F.min(F.struct("distance", "late", "at", "rid")).alias("m"))
-    to = state.join(best, "cls", "left").select("cls", F.col("m.rid").alias("rid"), F.coalesce("m.distance", F.lit(0)).cast("int").alias("distance"), "stored")
-    named = cls.join(to, "cls").withColumn("rid", F.coalesce("rid", "id"))
-    out = rows.join(named.select("type", "tag", "recovery", "cls", "rid", "distance", F.col("stored").alias("_stored")), ["type", "tag", "recovery"])
-    return out.select("id", "rid", "distance", (F.col("_stored") & (F.col("pos") == F.col("cls"))).alias("stored"))
+        options = options.unionByName(before)
+    at = rows.join(cls.select("type", "tag", "recovery", "cls"), ["type", "tag", "recovery"]).select("id", "pos", "cls")
+    met = at.join(options, "cls").filter("late = 0 or at < pos").groupBy("id").agg(F.min(F.struct("distance", "late", "at", "rid")).alias("m"))
+    out = at.join(met, "id", "left")
+    return out.select("id", F.coalesce("m.rid", "id").alias("rid"), F.coalesce("m.distance", F.lit(0)).cast("int").alias("distance"), F.col("m").isNull().alias("stored"))

@@ -7,15 +7,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hamloom.functions.bits import weight, with_words, words_of
 from hamloom.functions.text import parse_thresholds
 from hamloom.operators.search import posting_rows
 
 
 def signature(records: DataFrame, spec: str, bits: int = 256) -> str:
     """A hash over the format, the thresholds and all records whatever their order."""
-    row = records.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("record_id", "type", "tag").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("record_id").cast("string"), "type", "tag").cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    row = records.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(mark), F.lit(0)).cast("string").alias("s")).first()
     limits = ",".join(f"{k}={v}" for k, v in sorted(parse_thresholds(spec).items()))
-    return f"tags-2|{bits}|{limits}|{row['n']}|{row['s']}"
+    return f"tags-3|{bits}|{limits}|{row['n']}|{row['s']}"
 
 
 class TagIndex:
@@ -65,3 +67,40 @@ class TagIndex:
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema("type string, segment bigint, value binary, record_id bigint").parquet(f"{self.path}/postings")
+
+    def lookup(self, kind: str, segment: int, value: bytes) -> DataFrame:
+        """(record_id) of the postings of one segment value: row groups are pruned by their ranges."""
+        at = self.postings().filter((F.col("type") == kind) & (F.col("segment") == segment) & (F.col("value") == F.lit(value)))
+        return at.select("record_id")
+
+    def record(self, record_id: int) -> DataFrame:
+        """The record of one number: none or one row."""
+        return self.records().filter(F.col("record_id") == record_id)
+
+
+class WeightBlocks:
+    """Records by the weight of their tags, as Parquet with a folder per weight; always built anew.
+
+    A query of weight w at threshold t reads the folders from w - t to w + t only; all() reads every one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, records: DataFrame) -> WeightBlocks:
+        """Write records (record_id, tag); null tags are left out. A weight's records are cut into files by the session's shuffle."""
+        rows = with_words(records.filter("tag is not null").select("record_id", "tag")).withColumn("weight", weight(words_of()).cast("int"))
+        rows.select("record_id", "tag", "weight").repartition("weight", F.pmod("record_id", F.lit(8))).write.mode("overwrite").partitionBy("weight").parquet(self.path)
+        return self
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema("record_id bigint, tag string, weight int").parquet(self.path)
+
+    def band(self, low: int, high: int) -> DataFrame:
+        """Records of the weights low to high."""
+        return self.all().filter(F.col("weight").between(low, high))
+
+    def blocks(self) -> DataFrame:
+        """(label, records): "all" and one row per weight that has records."""
+        per = self.all().groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+        return per.select(F.explode(F.array(F.lit("all"), F.col("weight").cast("string"))).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("records"))

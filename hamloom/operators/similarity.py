@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from hamloom.functions.text import shingles, words
+from hamloom.operators.skew import with_positions
 from hamloom.session import materialise
 
 #: A shingle is rare if at least 2 and at most MAX_DF documents have it; a document proposes by its RAREST rarest ones.
@@ -105,3 +106,39 @@ def document_classes(classed: DataFrame, digests: DataFrame) -> DataFrame:
     near = near.select(F.col("a").alias("doc")).union(near.select("b")).distinct().withColumn("_near", F.lit(True))
     at = digests.join(per, "digest", "left").join(near, "doc", "left")
     return at.select("doc", F.when(F.col("n") > 1, "exact_body_exists").when(F.col("_near"), "possible_similar").otherwise("none").alias("class"))
+
+
+def similarity_report(docs: DataFrame, ident: str, text: str, group: str, classes: DataFrame) -> DataFrame:
+    """(grp, documents, under_5_words, under_20_words, exact_pairs, exact_body_exists, possible_similar, none) by the group column and,
+    as "all", for everything. exact_pairs counts pairs of equal texts, n (n - 1) / 2 for n copies (within the group, or all).
+    classes has (doc, class) of every document (document_classes)."""
+    n = F.size(words(text))
+    rows = docs.select(F.col(ident).alias("doc"), F.col(group).alias("grp"), n.alias("n"), F.sha2(text, 256).alias("digest")).join(classes, "doc")
+    both = rows.select("doc", F.explode(F.array(F.col("grp"), F.lit("all"))).alias("grp"), "n", "digest", "class").filter("grp is not null")
+    copies = both.groupBy("grp", "digest").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("exact_pairs"))
+    kinds = [F.count_if(F.col("class") == k).alias(k) for k in ("exact_body_exists", "possible_similar", "none")]
+    return both.groupBy("grp").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") < 5).alias("under_5_words"), F.count_if(F.col("n") < 20).alias("under_20_words"), *kinds).join(copies, "grp")
+
+
+def random_pairs(ids: DataFrame, ident: str, pairs: int, seed: int) -> DataFrame:
+    """(draw, a, b), a < b: distinct random pairs of different ids, in order of the draws that gave them first.
+
+    Draw i takes two of the ids' places in sorted order by MD5 over seed, i and a letter; equal places and pairs that came before
+    are rejected. At most a quarter of all pairs are given, so that draws don't run on for long. ids are unique.
+    """
+    spark = ids.sparkSession
+    placed = with_positions(ids.select(ident), [ident], "_place")
+    n = placed.count()
+    want = min(pairs, n * (n - 1) // 4)
+    draws = 2 * want + 64
+    place = lambda c: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("id").cast("string"), F.lit(c)).cast("binary")), 1, 15), 16, 10).cast("bigint"), F.lit(max(n, 1)))
+    while True:
+        drawn = spark.range(draws).select(F.col("id").alias("draw"), place("a").alias("x"), place("b").alias("y")).filter("x <> y")
+        once = drawn.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("draw").alias("draw"))
+        once = materialise(once)
+        if once.count() >= want:
+            break
+        draws *= 2
+    kept = once.orderBy("draw").limit(want)
+    named = lambda c, to: placed.select(F.col("_place").alias(c), F.col(ident).alias(to))
+    return kept.join(named("x", "a"), "x").join(named("y", "b"), "y").select("draw", "a", "b")

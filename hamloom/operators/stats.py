@@ -99,3 +99,51 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str]) -
     rows = both.select(F.col(f"a.{k}").isNotNull().alias("ina"), F.col(f"b.{k}").isNotNull().alias("inb"), F.explode(each).alias("m")).select("ina", "inb", "m.*")
     pair = F.col("ina") & F.col("inb")
     return rows.groupBy("metric").agg(F.count_if(pair).alias("pairs"), F.count_if(pair & F.col("x").eqNullSafe(F.col("y"))).alias("equal"), F.round(F.avg(F.when(pair, F.col("x").eqNullSafe(F.col("y")).cast("int"))), 6).alias("equal_rate"), F.round(F.avg(F.when(pair, F.col("x"))), 4).alias("mean_a"), F.round(F.avg(F.when(pair, F.col("y"))), 4).alias("mean_b"), F.count_if(~F.col("inb")).alias("only_a"), F.count_if(~F.col("ina")).alias("only_b"))
+
+
+def strategy_summary(rows: DataFrame, strategy: str, latency: str, metrics: list[str]) -> DataFrame:
+    """(strategy, samples, mean_latency, p95_latency, mean_<metric> and total_<metric> of every metric), and a row "all" for all strategies.
+
+    p95 has the index ceil(0.95 n) - 1. Null latencies count in nothing.
+    """
+    both = rows.filter(F.col(latency).isNotNull()).select(F.explode(F.array(F.col(strategy), F.lit("all"))).alias("strategy"), F.col(latency).alias("latency"), *metrics)
+    mid = order_statistics(both.select("strategy", "latency"), ["strategy"], "latency", {"p95_latency": ceil_index(F.col("n"), "0.95")}).drop("n")
+    sums = [x for m in metrics for x in (F.round(F.avg(m), 4).alias(f"mean_{m}"), F.sum(m).alias(f"total_{m}"))]
+    return both.groupBy("strategy").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("latency"), 4).alias("mean_latency"), *sums).join(mid, "strategy")
+
+
+def run_comparison(a: DataFrame, b: DataFrame, keys: list[str], latency: str, metrics: list[str]) -> DataFrame:
+    """One row per key (unique in either) that both runs have: whether each matched, whether candidates and all counters agree,
+    both latencies, and of every counter both values and their difference. metrics[0] is the number of candidates."""
+    left, right = a.alias("a"), b.alias("b")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    same = [F.col(f"a.{m}").eqNullSafe(F.col(f"b.{m}")) for m in metrics]
+    every = same[0]
+    for x in same[1:]:
+        every = every & x
+    found = [(F.col(f"{x}.{metrics[0]}") > 0).cast("int").alias(f"{x}_matched") for x in "ab"]
+    values = [c for m in metrics for c in (F.col(f"a.{m}").alias(f"a_{m}"), F.col(f"b.{m}").alias(f"b_{m}"), (F.col(f"a.{m}") - F.col(f"b.{m}")).alias(f"delta_{m}"))]
+    return left.join(right, cond).select(*[F.col(f"a.{k}") for k in keys], *found, same[0].cast("int").alias("candidate_match"), every.cast("int").alias("workload_match"), F.col(f"a.{latency}").alias("a_latency"), F.col(f"b.{latency}").alias("b_latency"), *values)
+
+
+def latency_comparison(a: DataFrame, b: DataFrame, keys: list[str], latency: str) -> DataFrame:
+    """(*keys, samples, and mean, median and p95 of either run, mean_delta, mean_ratio): the latencies of two runs by key.
+
+    Medians are the middle of the two middle values of an even number; p95 has the index ceil(0.95 n) - 1. The ratio is null for 0.
+    """
+    n = F.col("n")
+    sides = []
+    for name, df in (("a", a), ("b", b)):
+        mid = order_statistics(df, keys, latency, {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": ceil_index(n, "0.95")})
+        mean = df.filter(F.col(latency).isNotNull()).groupBy(*keys).agg(F.avg(latency).alias("mean"))
+        sides.append(mid.join(mean, keys).select(*keys, n.alias(f"{name}_samples"), F.col("mean").alias(f"{name}_mean"), ((F.col("low") + F.col("high")) / 2).alias(f"{name}_median"), F.col("p95").alias(f"{name}_p95")))
+    both = sides[0].join(sides[1], keys)
+    ratio = F.when(F.col("b_mean") != 0, F.col("a_mean") / F.col("b_mean"))
+    return both.withColumns({"mean_delta": F.round(F.col("a_mean") - F.col("b_mean"), 6), "mean_ratio": F.round(ratio, 6), "a_mean": F.round("a_mean", 6), "b_mean": F.round("b_mean", 6)})
+
+
+def rotation(index: Column, repeat: Column, offset: Column, k: int) -> Column:
+    """Which of k thresholds comes at an offset for a query and repeat: the order turns, so none is always first."""
+    return F.pmod(index + repeat + offset, F.lit(k))

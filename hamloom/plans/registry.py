@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hamloom.functions import crypto
-from hamloom.functions.bits import hamming, weight, with_words, words_of
+from hamloom.functions.bits import distance_until, weight, with_words, words_of
 from hamloom.functions.keys import hex256, norm_name
-from hamloom.functions.text import RECOVERY_DOMAIN, extract_body, metadata_line, normalised, parse_thresholds, simhash, text_tag, threshold_for, words
-from hamloom.operators import experiment, filters, greedy, heavy_keys, protocol, search, similarity, stats
-from hamloom.operators.index import signature
+from hamloom.functions.text import RECOVERY_DOMAIN, extract_body, metadata_line, normalised, parse_thresholds, simhash, text_tag, threshold_for, typed_value, words
+from hamloom.operators import experiment, filters, greedy, heavy_keys, media, protocol, search, similarity, stats
+from hamloom.operators.index import WeightBlocks, signature
+from hamloom.operators.skew import with_positions
 from hamloom.operators.store import manifest_once, record_tags
-from hamloom.session import materialise, table, widen
-from hamloom.streaming.uploads import answer_challenges
+from hamloom.session import materialise, shared_dir, table, widen
+from hamloom.streaming.uploads import UploadStore, answer_challenges
 
 DELTA = 6
 SPEC = "default=6,text=4,video=8"
-SEED, BENCHMARK, POOL = 20250101, 200, 1000
+SEED, BENCHMARK, POOL, PAIRS = 20250101, 200, 1000, 10_000
+COUNTERS = ["candidate_count", "filter_queries", "inverted_lookups", "posting_records_read", "full_tag_distance_computations"]
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,9 +64,9 @@ def recovery_tags(spark, sf):
 
 
 def normalized_tags(spark, sf):
-    """Tag and number of documents of every distinct normalised text; each is tagged once."""
-    n = documents(spark, sf).select(normalised("text").alias("body")).groupBy("body").agg(F.count(F.lit(1)).alias("documents"))
-    return n.select(F.sha2("body", 256).alias("normalized_sha256"), "documents", text_tag("body").alias("tag"))
+    """Tag, number and first of the documents of every distinct normalised text; each is tagged once."""
+    n = documents(spark, sf).select("doc_id", normalised("text").alias("body")).groupBy("body").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+    return n.select(F.sha2("body", 256).alias("normalized_sha256"), "documents", "first_doc", text_tag("body").alias("tag"))
 
 
 def word_counts(spark, sf):
@@ -268,9 +270,8 @@ def stratified_sample(spark, sf):
 
 
 def summary_grouping_sets(spark, sf):
-    means = ["candidate_count", "filter_queries", "inverted_lookups", "posting_records_read", "full_tag_distance_computations"]
     m = measured(spark, sf).filter("latency_us is not null")
-    return stats.summarise(m, "strategy", "run_id", "type", "query_id", "latency_us", F.col("candidate_count") > 0, means)
+    return stats.summarise(m, "strategy", "run_id", "type", "query_id", "latency_us", F.col("candidate_count") > 0, COUNTERS)
 
 
 def percentile_variants(spark, sf):
@@ -300,7 +301,7 @@ def scale_comparison(spark, sf):
     """Later against earlier runs by strategy and type, cut behind the middle run."""
     m = measured(spark, sf)
     runs = m.select("run_id").distinct()
-    middle = runs.agg(F.percentile_disc(0.5, "run_id").alias("x")) if hasattr(F, "percentile_disc") else runs.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY run_id)").alias("x"))
+    middle = runs.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY run_id)").alias("x"))
     late = F.col("run_id") > F.col("x")
     m = m.crossJoin(F.broadcast(middle))  # one row
     return stats.scale_comparison(_run_summary(m.filter(late)), _run_summary(m.filter(~late)), ["strategy", "type"])
@@ -411,17 +412,25 @@ def manifest_integrity(spark, sf):
 
 
 def split_integrity(spark, sf):
-    """Splits whose reported counts differ from the manifest's."""
-    s = table(spark, sf, "split_summary").select("split_id", "total_records", "reference_count", "query_pool_count").dropDuplicates(["split_id"])
-    m = manifest_once(spark, sf).groupBy("split_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("role") == "reference").alias("ref"), F.count_if(F.col("role") == "query_pool").alias("pool"))
-    at = s.join(m, "split_id", "full_outer")
-    wrong = ~F.col("total_records").eqNullSafe(F.col("total")) | ~F.col("reference_count").eqNullSafe(F.col("ref")) | ~F.col("query_pool_count").eqNullSafe(F.col("pool"))
-    return at.filter(wrong).select("split_id", "total_records", "total", "reference_count", "ref", "query_pool_count", "pool")
+    """Splits whose reported counts differ from the manifest's, the groups of the query pool among them (null counts as 0)."""
+    cols = ["total_records", "reference_count", "query_pool_count"]
+    groups = [F.coalesce(F.max(f"query_pool_groups.{g}"), F.lit(0)).alias(f"reported_{g}") for g in ("exact_ref", "no_exact_ref")]
+    s = table(spark, sf, "split_summary").groupBy("split_id").agg(*[F.max(c).alias(c) for c in cols], *groups)
+    m = materialise(manifest_once(spark, sf))
+    n = m.groupBy("split_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("role") == "reference").alias("ref"), F.count_if(F.col("role") == "query_pool").alias("pool"))
+    pool = experiment.exact_ref(m.filter("role = 'query_pool' and digest is not null"), m.filter("role = 'reference'"), "digest")
+    k = pool.groupBy("split_id").agg(*[F.count_if(F.col("group") == g).alias(g) for g in ("exact_ref", "no_exact_ref")])
+    at = s.join(n, "split_id", "full_outer").join(k, "split_id", "left").fillna(0, ["exact_ref", "no_exact_ref"])
+    pairs = [("total_records", "total"), ("reference_count", "ref"), ("query_pool_count", "pool"), ("reported_exact_ref", "exact_ref"), ("reported_no_exact_ref", "no_exact_ref")]
+    wrong = F.lit(False)
+    for x, y in pairs:
+        wrong = wrong | ~F.col(x).eqNullSafe(F.col(y))
+    return at.filter(wrong).select("split_id", *[c for p in pairs for c in p])
 
 
 def metadata_lines(spark, sf):
     """Counts read back from lines of name=value pairs."""
-    s = table(spark, sf, "split_summary").select("split_id", "total_records", "reference_count").dropDuplicates(["split_id"])
+    s = table(spark, sf, "split_summary").groupBy("split_id").agg(F.max("total_records").alias("total_records"), F.max("reference_count").alias("reference_count"))
     line = F.concat(F.lit("records="), F.col("total_records"), F.lit(", reference="), F.col("reference_count"), F.lit(", split="), F.col("split_id"))
     m = s.select(metadata_line(line).alias("m"))
     return m.select(F.col("m")["split"].cast("bigint").alias("split_id"), F.col("m")["records"].cast("bigint").alias("records"), F.col("m")["reference"].cast("bigint").alias("reference"))
@@ -433,6 +442,115 @@ def index_signature(spark, sf):
     return spark.createDataFrame([(text,)], "signature string")
 
 
+def metadata_types(spark, sf):
+    """Values of a line of name=value pairs as whole number, real number and text."""
+    m = measured(spark, sf).filter("latency_us is not null").groupBy("strategy", "run_id").agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat(F.lit("strategy="), "strategy", F.lit(", n="), "n", F.lit(", half="), F.format_string("%.1f", F.col("n") / 2), F.lit(", run="), "run_id")
+    t = m.select(metadata_line(line).alias("m")).select(F.transform_values("m", lambda k, v: typed_value(v)).alias("t"))
+    return t.select(F.col("t")["run"]["whole"].alias("run_id"), F.col("t")["strategy"]["text"].alias("strategy"), F.col("t")["n"]["whole"].alias("n"), F.col("t")["half"]["real"].alias("half"))
+
+
+def strategy_summary(spark, sf):
+    """Means, 95th percentile and sums of every strategy and of all."""
+    return stats.strategy_summary(measured(spark, sf), "strategy", "latency_us", COUNTERS)
+
+
+def run_comparison(spark, sf):
+    """Filtered and unfiltered index search side by side for every measurement that both have."""
+    m = materialise(measured(spark, sf))
+    return stats.run_comparison(m.filter("strategy = 'prefuzz'"), m.filter("strategy = 'exact'"), ["run_id", "type", "query_id", "repeat"], "latency_us", COUNTERS)
+
+
+def latency_comparison(spark, sf):
+    """Latencies of filtered and unfiltered index search by run."""
+    m = materialise(measured(spark, sf))
+    return stats.latency_comparison(m.filter("strategy = 'prefuzz'"), m.filter("strategy = 'exact'"), ["run_id"], "latency_us")
+
+
+def threshold_order(spark, sf):
+    """The order in which a query takes the three thresholds, by its place among the arriving records."""
+    q = with_positions(arriving(spark, sf).select("query_id"), ["query_id"], "place")
+    turn = q.withColumn("offset", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return turn.select("query_id", "offset", F.element_at(F.array(F.lit(4), F.lit(5), F.lit(6)), (stats.rotation(F.col("place"), F.lit(1), F.col("offset"), 3) + 1).cast("int")).alias("threshold"))
+
+
+def similarity_report(spark, sf):
+    """Short documents, pairs of equal texts and document classes by source and for all."""
+    classed, digests = _classed(spark, sf)
+    docs = documents(spark, sf).withColumn("source", norm_name("source"))
+    return similarity.similarity_report(docs, "doc_id", "text", "source", materialise(similarity.document_classes(classed, digests)))
+
+
+def random_pairs(spark, sf):
+    """Random pairs of documents with their similarity."""
+    docs, rows = _shingled(spark, sf)
+    pairs = materialise(similarity.random_pairs(docs.select("doc_id"), "doc_id", PAIRS, SEED))
+    return similarity.jaccard(pairs, rows).join(pairs, ["a", "b"]).select("draw", "a", "b", "shared", F.round("jaccard", 9).alias("jaccard"))
+
+
+def bloom_bits(spark, sf):
+    """Per type, the postings' distinct values and the bits that they set in a Bloom filter."""
+    values = search.postings(records(spark, sf), DELTA).select("type", "segment", "value").distinct()
+    bits = values.select("type", F.explode(filters.bloom_positions(F.col("value"), 7, 1 << 20)).alias("bit"))
+    n = values.groupBy("type").agg(F.count(F.lit(1)).alias("values"))
+    return bits.distinct().groupBy("type").agg(F.count(F.lit(1)).alias("bits")).join(n, "type")
+
+
+def early_exit_distances(spark, sf):
+    """Distances of matching tags, counted byte by byte until they exceed 3."""
+    hits = radius_exact(spark, sf).select("type", "query_tag", "tag")
+    return hits.withColumn("distance", distance_until("tag", "query_tag", 3))
+
+
+def video_tags(spark, sf):
+    """Tags of videos of 100 record numbers each, by majority over the tags of their frames."""
+    frames = records(spark, sf).filter("type = 'video'").select(F.floor(F.col("record_id") / 100).alias("video"), F.col("record_id").alias("frame"), "tag")
+    return media.video_tags(frames)
+
+
+def weight_blocks(spark, sf):
+    """Records of the weight-partitioned store by block, read back from it."""
+    path = shared_dir(spark)
+    return WeightBlocks(spark, path).build(records(spark, sf)).blocks()
+
+
+def secret_shares(spark, sf):
+    """Per mailbox, the shares of a secret under the policy of its languages, and whether a user with English and German gets it back."""
+    langs = documents(spark, sf).filter("mailbox is not null and lang is not null").groupBy("mailbox").agg(F.collect_set(norm_name("lang")).alias("langs"))  # a handful of names
+    secret = F.length("mailbox").cast("bigint") * F.lit(1000003)
+    at = langs.select("mailbox", secret.alias("secret"), protocol.share_secret(secret, F.col("langs"), "seed").alias("s"))
+    got = at.withColumn("got", protocol.join_shares(F.col("s"), F.array(F.lit("en"), F.lit("de"))))
+    return got.select("mailbox", F.size("s").alias("shares"), F.coalesce(F.col("got") == F.col("secret"), F.lit(False)).alias("recovered"))
+
+
+def oblivious_transfer(spark, sf):
+    """Per mailbox, which of two messages comes out of an oblivious transfer, and the bytes sent."""
+    m = documents(spark, sf).filter("mailbox is not null").groupBy("mailbox").agg((F.count(F.lit(1)) % 2).cast("int").alias("choice"))
+    rows = m.select(F.col("mailbox").alias("ident"), F.concat(F.lit("first "), "mailbox").cast("binary").alias("first"), F.concat(F.lit("second "), "mailbox").cast("binary").alias("second"), "choice")
+    got = protocol.transfer(widen(rows), "seed")
+    return got.select(F.col("ident").alias("mailbox"), F.col("received").cast("string").alias("received"), "sent")
+
+
+def stream_equals_batch(spark, sf):
+    """Decisions on all documents taken in 1, 3 and 10 batches: how many, and how many differ from those of one table."""
+    d = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.lit("text").alias("type"), F.col("text").alias("content"))
+    d = materialise(d)
+    want = materialise(greedy.assign(_uploads(spark, sf).drop("mailbox")))
+    low, high = d.agg(F.min("pos"), F.max("pos")).first()
+    out = None
+    for cuts in (1, 3, 10):
+        path = shared_dir(spark)
+        store = UploadStore(spark, path)
+        for k in range(cuts):
+            part = F.floor((F.col("pos") - F.lit(low or 0)) * cuts / F.lit((high or 0) - (low or 0) + 1))
+            store.add(d.filter(part == k), k)
+        got = store.decisions().select("id", "rid", "distance", "stored")
+        one = got.withColumn("s", F.lit(1)).unionByName(want.withColumn("s", F.lit(2))).groupBy("id", "rid", "distance", "stored").agg(F.sum("s").alias("s"))
+        one = one.agg(F.lit(cuts).cast("bigint").alias("batches"), F.count_if(F.col("s") != 2).alias("decisions"), F.count_if(F.col("s") != 3).alias("different"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fuzzy_recovery(spark, sf):
     """Whether a key is recovered from a document's representation with k flipped bits, by k from 0 to 8."""
     rows = documents(spark, sf).select("doc_id", "text", F.pmod("doc_id", F.lit(9)).alias("flips"))
@@ -477,9 +595,10 @@ def challenge_answers(spark, sf):
 
 
 def sampled_proof(spark, sf):
-    """Mean estimate of the distance of linked tags from 64 sampled bits, by true distance."""
+    """Mean estimate of the distance of linked tags from 64 sampled bits, and claims accepted at 6, by true distance."""
     hits = radius_exact(spark, sf).select("query_tag", "tag", "distance")
-    return hits.withColumn("estimate", protocol.sampled_distance(F.col("tag"), F.col("query_tag"), 64, 7)).groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("estimate"), 6).alias("mean_estimate"))
+    made = protocol.sampled_proof(hits.select(F.col("tag").alias("stored"), F.col("query_tag").alias("claim"), "distance"), 64, 7, 6)
+    return made.groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("estimate"), 6).alias("mean_estimate"), F.count_if("accepted").alias("accepted"))
 
 
 def aead_round_trip(spark, sf):
@@ -493,22 +612,17 @@ def aead_round_trip(spark, sf):
 
 
 def image_tags(spark, sf):
-    """Perceptual tags of the vectors taken as square grey images."""
-    from hamloom.functions.media import private_representation, public_tag
+    """Perceptual tags of the vectors taken as grey pictures, all their values in rows as near to a square as their number allows."""
+    from hamloom.functions.media import as_image, private_representation, public_tag
 
     @F.pandas_udf("struct<tag: string, representation: string>")
     def tag(vectors):
-        import numpy as np
         import pandas as pd
 
-        rows = []
-        for v in vectors:
-            side = max(1, int(len(v) ** 0.5))
-            x = np.asarray(v[: side * side], float).reshape(side, side)
-            rows.append((public_tag(x).hex(), private_representation(x).hex()))
-        return pd.DataFrame(rows, columns=["tag", "representation"])
+        pictures = [as_image(v) for v in vectors]
+        return pd.DataFrame([(public_tag(x).hex(), private_representation(x).hex()) for x in pictures], columns=["tag", "representation"])
 
-    return table(spark, sf, "embeddings").filter("embedding is not null").select("vec_id", tag("embedding").alias("t")).select("vec_id", "t.*")
+    return widen(table(spark, sf, "embeddings")).filter("embedding is not null").select("vec_id", tag("embedding").alias("t")).select("vec_id", "t.*")
 
 
 NAMES: tuple[Callable[..., DataFrame], ...] = (
@@ -517,7 +631,8 @@ NAMES: tuple[Callable[..., DataFrame], ...] = (
     cross_scheme_agreement, filter_membership, filter_bytes, exact_duplicates, duplicate_distribution, duplicate_buckets_by_role, exact_ref_labels,
     reference_split, largest_remainder, stratified_sample, summary_grouping_sets, percentile_variants, tail_summary, query_analysis, scale_comparison,
     workload_agreement, shingle_candidates, jaccard_classes, similarity_statistics, doc_classes, similar_texts, similar_doc_classes, greedy_dedup, user_refs, upload_counts, policy_containment,
-    threshold_lookup, manifest_integrity, split_integrity, metadata_lines, index_signature, fuzzy_recovery, ownership_round_trip, challenge_answers,
+    similarity_report, random_pairs, strategy_summary, run_comparison, latency_comparison, threshold_order, bloom_bits, early_exit_distances, video_tags,
+    weight_blocks, secret_shares, oblivious_transfer, stream_equals_batch, metadata_types, threshold_lookup, manifest_integrity, split_integrity, metadata_lines, index_signature, fuzzy_recovery, ownership_round_trip, challenge_answers,
     sampled_proof, aead_round_trip, image_tags,
 )
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,18 +15,24 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("errorifexists").csv(path, header=True, lineSep="\n", escape='"')
 
 
-def publish(target: str, write: Callable[[str], None], check: Callable[[str], None] = lambda _: None) -> None:
-    """Write to a folder beside target, check it, then rename: readers see all or nothing. Refuses a target that exists."""
-    if os.path.exists(target):
+def publish(spark: SparkSession, target: str, write: Callable[[str], None], check: Callable[[str], None] = lambda _: None) -> None:
+    """Write to a folder beside target, check it, then rename: readers see all or nothing. Refuses a target that exists.
+
+    Both are of the target's file system (Hadoop's), not of one machine; on object stores a rename is a copy.
+    """
+    jvm = spark.sparkContext._jvm
+    end, staging = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(f"{target}.staging")
+    fs = end.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(end):
         raise FileExistsError(target)
-    staging = f"{target}.staging"
-    shutil.rmtree(staging, ignore_errors=True)
+    fs.delete(staging, True)
     try:
-        write(staging)
-        check(staging)
-        os.rename(staging, target)
+        write(f"{target}.staging")
+        check(f"{target}.staging")
+        if not fs.rename(staging, end):
+            raise OSError(f"{target} could not be put in place")
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
+        fs.delete(staging, True)
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -45,6 +49,22 @@ def changed(now: DataFrame, listed: DataFrame) -> DataFrame:
     return at.select(F.coalesce("a.path", "b.path").alias("path"), what.alias("problem")).filter("problem is not null")
 
 
+def write_json_to(spark: SparkSession, value: dict, path: str) -> None:
+    """value as JSON in a folder that all executors share, through Hadoop's file system; an older file is replaced."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()))
+    out.close()
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """The JSON object that write_json_to wrote, or None without a file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))  # a few lines
+
+
 def write_json(value: dict, path: str) -> None:
     """Sorted keys, a line end at the end."""
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n", "utf-8")

@@ -12,8 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hamloom.functions.text import RECOVERY_DOMAIN, TAG_DOMAIN, text_tag
-from hamloom.operators.greedy import assign, reusable_links
+from hamloom.functions.text import RECOVERY_DOMAIN, TAG_DOMAIN, parse_thresholds, text_tag
+from hamloom.operators import filters
+from hamloom.operators.greedy import assign
+from hamloom.operators.protocol import references
+from hamloom.operators.search import posting_rows
+from hamloom.session import materialise, widen
+from hamloom.sources.sinks import read_json, write_json_to
 
 #: Seconds for which a challenge may be answered.
 TTL = 120
@@ -21,42 +26,110 @@ TTL = 120
 
 class UploadStore:
     """Stored representatives and decisions as Parquet; each micro-batch adds one folder of either, named by its number, so a
-    batch that is run again after a failure replaces its own output and nothing else."""
+    batch that is run again after a failure replaces its own output and nothing else.
 
-    def __init__(self, spark: SparkSession, path: str, spec: str = "default=6"):
-        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+    config.json has the thresholds, the filters' false positive rate and the number of records that the filters of a type are made for.
+    It is written by the first setup and changed by later ones; see setup().
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: str | None = None, capacity: int = 1000, fpp: float = 0.01):
+        self.spark, self.path = spark, path.rstrip("/")
         self.schema = "id string, pos bigint, type string, tag string, recovery string"
+        self.config = read_json(spark, f"{self.path}/config.json")
+        if self.config is None:
+            self.setup(spec or "default=6", capacity, fpp)
+        elif spec is not None and parse_thresholds(spec) != parse_thresholds(self.config["spec"]):
+            self.setup(spec, self.config["capacity"], self.config["fpp"])
+        self.spec = self.config["spec"]
+
+    def setup(self, spec: str, capacity: int, fpp: float) -> None:
+        """Set thresholds, capacity and false positive rate; with records stored, other thresholds or less capacity than they need fail."""
+        limits = parse_thresholds(spec)
+        filters.sizing(capacity, fpp)
+        if self.config is not None and (counts := self.counts()):
+            if parse_thresholds(self.config["spec"]) != limits:
+                raise ValueError("thresholds can't change once records are stored")
+            if capacity < max(counts.values()):
+                raise ValueError(f"a capacity of {capacity} is less than the {max(counts.values())} stored records of a type")
+        kept = {} if self.config is None else self.config.get("capacities", {})
+        self.config = {"spec": spec, "capacity": capacity, "fpp": fpp, "capacities": {t: max(capacity, n) for t, n in kept.items()}}
+        self.spec = spec
+        write_json_to(self.spark, self.config, f"{self.path}/config.json")
+
+    def counts(self) -> dict[str, int]:
+        """Stored records by type: one number each."""
+        return {r["type"]: r["n"] for r in self.stored().groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def grow(self) -> dict[str, int]:
+        """Double the capacity of types that have reached theirs, as often as needed; returns all capacities. Runs before a batch's records become visible."""
+        sizes = dict(self.config.get("capacities", {}))
+        for kind, n in self.counts().items():
+            sizes[kind] = max(sizes.get(kind, 0), self.config["capacity"])
+            while sizes[kind] <= n:
+                sizes[kind] *= 2
+        if sizes != self.config.get("capacities", {}):
+            self.config["capacities"] = sizes
+            write_json_to(self.spark, self.config, f"{self.path}/config.json")
+        return sizes
+
+    def filter_entries(self) -> DataFrame:
+        """The membership filters' entries (type, segment, bin, mini, spare) of all stored records at their type's capacity.
+
+        A type with more records than its capacity fails; grow() prevents it.
+        """
+        sizes, counts = self.config.get("capacities", {}), self.counts()
+        if over := [t for t, n in counts.items() if n > sizes.get(t, self.config["capacity"])]:
+            raise ValueError(f"more records than capacity: {sorted(over)}")
+        rows = posting_rows(self.stored().withColumn("record_id", F.lit(0).cast("bigint")), self.spec).select("type", "segment", "value")
+        capacity = self.spark.createDataFrame([(t, int(sizes.get(t, self.config["capacity"]))) for t in counts], "type string, n bigint")
+        return filters.filter_entries(rows, capacity, self.config["fpp"])
 
     def stored(self, before: int | None = None) -> DataFrame:
         """Representatives, of the batches before a number if given."""
+        rows = self._read("stored", self.schema)
+        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+    def decisions(self) -> DataFrame:
+        return self._read("decisions", "id string, uid string, pos bigint, rid string, distance int, stored boolean")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            rows = self.spark.read.schema(self.schema + ", batch bigint").parquet(f"{self.path}/stored")
+            return self.spark.read.schema(schema + ", batch bigint").parquet(f"{self.path}/{name}")
         except Exception as e:  # nothing has been stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], self.schema)
-        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+            return self.spark.createDataFrame([], schema + ", batch bigint")
 
-    def decisions(self) -> DataFrame:
-        return self.spark.read.schema("id string, rid string, distance int, stored boolean, batch bigint").parquet(f"{self.path}/decisions").drop("batch")
+    def refs(self, uid: str | None = None) -> DataFrame:
+        """(uid, rid, created, type, tag): the representatives that users refer to, once each, with the stored record."""
+        made = self.decisions().filter("uid is not null")
+        made = made if uid is None else made.filter(F.col("uid") == uid)
+        once = references(made.select("uid", "rid", F.col("pos").alias("created")))
+        return once.join(self.stored().select(F.col("id").alias("rid"), "type", "tag"), "rid").select("uid", "rid", "created", "type", "tag")
+
+    def record(self, rid: str) -> DataFrame:
+        """The stored record of one rid: none or one row."""
+        return self.stored().filter(F.col("id") == rid)
+
+    def next(self) -> tuple[int, int]:
+        """The number of the next batch, and the first position after all decided uploads."""
+        row = self.decisions().agg(F.max("batch").alias("b"), F.max("pos").alias("p")).first()
+        return (0 if row["b"] is None else row["b"] + 1), (0 if row["p"] is None else row["p"] + 1)
 
     def add(self, batch: DataFrame, number: int) -> None:
-        """Decide a batch (id, pos, type, content string): reuse a stored representative or an earlier upload of the batch, else store."""
-        rows = batch.select("id", "pos", "type", text_tag("content", TAG_DOMAIN).alias("tag"), text_tag("content", RECOVERY_DOMAIN).alias("recovery")).persist()
-        old = self.stored(number).withColumn("cls", -F.xxhash64("id").cast("decimal(20,0)"))
-        new = rows.filter("tag is not null").withColumn("cls", F.col("pos").cast("decimal(20,0)"))
-        both = old.select("cls", "type", "tag", "recovery", F.lit(True).alias("old"), "id", "pos").unionByName(new.select("cls", "type", "tag", "recovery", F.lit(False).alias("old"), "id", "pos"))
-        links = reusable_links(both.select("cls", "type", "tag", "recovery"), self.spec)
-        hits = links.join(new.select(F.col("cls").alias("b")), "b", "left_semi").join(old.select(F.col("cls").alias("a"), F.col("id").alias("rid"), F.col("pos").alias("rpos")), "a")
-        best = hits.groupBy("b").agg(F.min(F.struct("distance", "rpos", "rid")).alias("m"))
-        known = new.join(best.withColumnRenamed("b", "cls"), "cls").select("id", F.col("m.rid").alias("rid"), F.col("m.distance").cast("int").alias("distance"), F.lit(False).alias("stored"))
-        rest = new.join(known.select("id"), "id", "left_anti")
-        fresh = assign(rest.select("id", "pos", "type", "tag", "recovery"), self.spec)
-        out = known.unionByName(fresh).persist()
-        out.write.mode("overwrite").parquet(f"{self.path}/decisions/batch={number}")
-        new.join(out.filter("stored").select("id"), "id", "left_semi").select("id", "pos", "type", "tag", "recovery").write.mode("overwrite").parquet(f"{self.path}/stored/batch={number}")
-        out.unpersist()
-        rows.unpersist()
+        """Decide a batch (id, pos, type, content string, uid if any): reuse the nearest of the stored representatives and the earlier
+        uploads that are stored, by (distance, pos), else store. ids are unique over all batches, and pos grows from batch to batch.
+
+        The batch is compared with the stored representatives and with itself; these aren't compared with one another. Where the
+        batches are cut makes no difference to the decisions. Null contents and types are left out.
+        """
+        uid = F.col("uid") if "uid" in batch.columns else F.lit(None).cast("string")
+        raw = materialise(widen(batch).select("id", "pos", uid.alias("uid"), "type", text_tag("content", TAG_DOMAIN).alias("tag"), text_tag("content", RECOVERY_DOMAIN).alias("recovery")))
+        rows = raw.filter("tag is not null and type is not null")
+        out = assign(rows.drop("uid"), self.spec, self.stored(number))
+        made = materialise(rows.select("id", "uid", "pos").join(out, "id").select("id", "uid", "pos", "rid", "distance", "stored"), f"{self.path}/decisions/batch={number}")
+        rows.join(made.filter("stored").select("id"), "id", "left_semi").select("id", "pos", "type", "tag", "recovery").write.mode("overwrite").parquet(f"{self.path}/stored/batch={number}")
+        self.grow()
 
     def start(self, uploads: DataFrame, checkpoint: str) -> StreamingQuery:
         """Run add on every micro-batch of a stream."""
