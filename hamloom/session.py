@@ -22,9 +22,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        # small tables with much work a row are cut finer than the defaults would
+        # small tables with much work a row are cut finer than the default would
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "hamloom-warehouse"))
     )
     for k, v in conf.items():
@@ -40,10 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """df, its rows dealt out anew if it has fewer partitions than there are cores: for work that costs far more than a shuffle
-    of its input. Tables of more partitions, as all large ones are, stay as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """df, its rows dealt out anew over all cores if it is smaller than one full partition of a scan per core.
+
+    For work that costs far more than a shuffle of its input: a small table may lie in a few row groups, and thus tasks. A
+    large one stays as it lies.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * full else df
 
 
 def shared_dir(spark: SparkSession) -> str:
