@@ -49,7 +49,12 @@ def test_maildir(spark, tmp_path):
 
 def test_metadata(spark, tmp_path):
     p = write(tmp_path / "m.txt", "records=4, bytes=10\n")
-    assert manifests.read_metadata(spark, p, ("records",)).first()["meta"]["bytes"] == "10"
+    row = manifests.read_metadata(spark, p, ("records",)).first()
+    assert row["meta"]["bytes"] == "10" and row["typed"]["records"]["whole"] == 4
+    mixed = write(tmp_path / "n.txt", "records=4, rate=0.5, name=x\n")
+    assert manifests.read_metadata(spark, mixed, numbers=("records",)).first()["meta"] == {"records": "4"}
+    with pytest.raises(Exception, match="whole number"):
+        manifests.read_metadata(spark, mixed, numbers=("rate",)).collect()
     with pytest.raises(Exception):
         manifests.read_metadata(spark, p, ("other",)).collect()
     with pytest.raises(ValueError):
@@ -64,16 +69,16 @@ def test_sinks(spark, tmp_path):
     assert manifests.read_csv(spark, str(tmp_path / "c"), "y string, x int").first()["y"] == 'a"b'
     with pytest.raises(Exception):
         sinks.write_csv(df, str(tmp_path / "c"), ["y"])
-    sinks.publish(str(tmp_path / "p"), lambda s: df.write.parquet(s))
+    sinks.publish(spark, str(tmp_path / "p"), lambda s: df.write.parquet(s))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     with pytest.raises(FileExistsError):
-        sinks.publish(str(tmp_path / "p"), lambda s: None)
+        sinks.publish(spark, str(tmp_path / "p"), lambda s: None)
 
     def fail(_):
         raise ValueError("bad")
 
     with pytest.raises(ValueError):
-        sinks.publish(str(tmp_path / "q"), lambda s: df.write.parquet(s), fail)
+        sinks.publish(spark, str(tmp_path / "q"), lambda s: df.write.parquet(s), fail)
     assert not (tmp_path / "q").exists()
     inv = sinks.inventory(spark, str(tmp_path / "c")).filter("path like '%.csv'")
     assert sinks.changed(inv, inv).count() == 0
@@ -99,6 +104,45 @@ def test_upload_stream(spark, tmp_path):
     assert store.stored().count() == 2
 
 
+def test_nearer_upload_of_the_same_batch_wins(spark, tmp_path):
+    def word(n):
+        return " ".join(f"w{i}" for i in range(n))
+
+    rows = [("a", 0, "u", "text", word(400)), ("b", 1, "u", "text", word(399)), ("c", 2, "v", "text", word(398)), ("d", 3, "v", "text", None), ("e", 4, "v", None, "x")]
+    df = spark.createDataFrame(rows, "id string, pos long, uid string, type string, content string")
+    found = []
+    for cut in (0, 1, 2):
+        store = UploadStore(spark, str(tmp_path / f"s{cut}"), "default=40")
+        for number, part in enumerate((df.filter(F.col("pos") < cut), df.filter(F.col("pos") >= cut))):
+            store.add(part, number)
+        found.append(sorted(map(tuple, store.decisions().drop("batch").collect())))
+        assert sorted((r["uid"], r["rid"]) for r in store.refs().collect()) == sorted({(r[1], r[3]) for r in found[-1]})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+    assert store.next() == (2, 3)
+    # a batch that runs again replaces its own output
+    store.add(df.filter(F.col("pos") >= 2), 1)
+    assert sorted(map(tuple, store.decisions().drop("batch").collect())) == found[2]
+
+
+def test_store_settings(spark, tmp_path):
+    store = UploadStore(spark, str(tmp_path / "s"), capacity=2)
+    store.setup("default=5", 1, 0.01)
+    texts = ["one two three four", "five six seven eight", "nine ten eleven twelve"]
+    store.add(spark.createDataFrame([(str(i), i, "text", t) for i, t in enumerate(texts)], "id string, pos long, type string, content string"), 0)
+    again = UploadStore(spark, str(tmp_path / "s"))
+    assert again.spec == "default=5" and again.config["capacities"] == {"text": 4} and again.record("1").count() == 1
+    assert again.filter_entries().count() == 3 * 6
+    for spec, capacity in (("default=6", 100), ("default=5", 2)):
+        with pytest.raises(ValueError):
+            again.setup(spec, capacity, 0.01)
+    with pytest.raises(ValueError):
+        UploadStore(spark, str(tmp_path / "s"), "default=4")
+    again.config["capacities"] = {"text": 2}
+    with pytest.raises(ValueError, match="capacity"):
+        again.filter_entries()
+    assert UploadStore(spark, str(tmp_path / "s")).setup("default=5", 50, 0.1) is None
+
+
 EVENTS = [("t1", "issue", "u", 0, True), ("t1", "answer", "u", 120, True), ("t1", "answer", "u", 121, True), ("t2", "issue", "u", 0, True), ("t2", "answer", "u", 121, True), ("t3", "answer", "u", 1, True), ("t4", "issue", "u", 0, True), ("t4", "answer", "v", 1, True), ("t4", "answer", "u", 2, True), ("t5", "issue", "u", 0, True), ("t5", "answer", "u", 1, False)]
 WANT = sorted([("t1", ""), ("t1", "used"), ("t2", "expired"), ("t3", "unknown"), ("t4", "another user"), ("t4", "used"), ("t5", "bad signature")])
 
@@ -128,6 +172,9 @@ def test_command_line(spark, tmp_path):
     assert main(["compare", "--records", r, "--queries", q, "--out", str(tmp_path / "c"), "--thresholds", "1,6"]) == 0
     rows = {(x["scheme"], x["threshold"], x["query_id"]): (x["matched"], x["best_distance"]) for x in spark.read.csv(str(tmp_path / "c"), header=True).collect()}
     assert rows["global_min", "1", "q1"] == ("1", "1") and rows["first_match", "6", "q2"] == ("1", "0") and len(rows) == 8
+    labels = write(tmp_path / "l.csv", "query_id,group,body_sha256,source_id\nq1,exact_ref,aa,s\nq2,no_exact_ref,bb,s\n")
+    assert main(["compare", "--records", r, "--queries", q, "--labels", labels, "--out", str(tmp_path / "d"), "--repeat", "1"]) == 0
+    assert {x["group"] for x in spark.read.csv(str(tmp_path / "d"), header=True).collect()} == {"exact_ref", "no_exact_ref"}
     assert main(["lookup", "--records", r, "--queries", q, "--out", str(tmp_path / "x"), "--strategies", "none"]) == 1
     for i, t in enumerate(("one two three four", "One, two three four!", "something else in here")):
         (tmp_path / f"{i}.txt").write_text(t)
@@ -136,3 +183,12 @@ def test_command_line(spark, tmp_path):
 
     assert bulk_upload(spark, u, str(tmp_path / "s")) == {"processed": 3, "stored": 2, "reused": 1}
     assert bulk_upload(spark, u, str(tmp_path / "s"))["stored"] == 0
+    store = UploadStore(spark, str(tmp_path / "s"))
+    assert store.decisions().select("id").distinct().count() == 6
+    assert main(["upload", "--uid", "v", "--file", f"{tmp_path}/2.txt", "--store", str(tmp_path / "s")]) == 0
+    from hamloom.__main__ import list_refs
+
+    assert list_refs(spark, "v", str(tmp_path / "s")) == ["u/0/2"] and len(list_refs(spark, "u", str(tmp_path / "s"))) == 2
+    assert main(["upload", "--uid", "v", "--file", f"{tmp_path}/none.txt", "--store", str(tmp_path / "s")]) == 1
+    assert main(["setup", "--store", str(tmp_path / "s"), "--threshold", "default=4"]) == 1
+    assert main(["list-refs", "--uid", "v", "--store", str(tmp_path / "s")]) == 0 and main(["self-test"]) == 0
