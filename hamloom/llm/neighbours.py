@@ -25,7 +25,7 @@ PROBES = 4
 #: Share of the true neighbours of a sample of queries that the visited cells must hold, and the sample's size per type.
 RECALL, SAMPLE_QUERIES = 0.97, 512
 #: Fewest tags of a region, the unit in which the index is searched; a block of queries, searched in a region at once, is as large.
-REGION = 24_576
+REGION = 32_768
 #: Above REGION squared tags, a region has the root of this many tags per tag of its type.
 PAIRS_PER_TAG = 1024
 
@@ -403,12 +403,14 @@ def nearest_tags(tags: DataFrame, k: int = 5, radius: int = 256, probes: int = P
     cols = ", ".join([f"a{i} bigint" for i in range(4)] + [f"b{i} bigint" for i in range(4)])
     by = ["type", "region", "block"]
     pairs = queries.groupBy(*by).cogroup(items.groupBy(*by)).applyInPandas(search, f"type string, {cols}, distance int")
-    text = lambda p: F.lower(F.concat(*[F.lpad(F.hex(f"{p}{i}"), 16, "0") for i in range(4)]))
-    pairs = pairs.select("type", text("a").alias("x"), text("b").alias("y"), "distance")
-    ends = F.array(F.struct(F.col("x").alias("tag"), F.col("y").alias("near")), F.struct(F.col("y").alias("tag"), F.col("x").alias("near")))
-    both = pairs.select("type", F.explode(ends).alias("e"), "distance").select("type", "e.tag", "e.near", "distance").distinct()
-    rank = F.row_number().over(W.partitionBy("type", "tag").orderBy("distance", "near"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+    # 32 bytes a tag, whose order is that of the hex digits
+    raw = lambda p: F.unhex(F.concat(*[F.lpad(F.hex(f"{p}{i}"), 16, "0") for i in range(4)]))
+    ends = F.array(F.struct(raw("a").alias("tag"), raw("b").alias("near")), F.struct(raw("b").alias("tag"), raw("a").alias("near")))
+    both = pairs.select("type", F.explode(ends).alias("e"), "distance").select("type", "e.tag", "e.near", "distance")
+    # a pair that was met from both ends comes twice with one dense rank; both rows lie in one partition
+    rank = F.dense_rank().over(W.partitionBy("type", "tag").orderBy("distance", "near"))
+    best = both.withColumn("rank", rank).filter(F.col("rank") <= k).distinct()
+    return best.select("type", F.lower(F.hex("tag")).alias("tag"), F.lower(F.hex("near")).alias("near"), "distance", "rank")
 
 
 def p2_neighbours(spark, sf_dir: str, k: int = 5) -> DataFrame:
