@@ -19,7 +19,7 @@ def key_shares(df: DataFrame, key: str, hot_share: float | None = None) -> DataF
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     out = counts.withColumn("total", counts.select(F.sum("n")).scalar())
     out = out.withColumn("share", F.col("n") / F.col("total"))
-    return out if hot_share is None else out.filter(F.col("n") >= F.col("total") * F.lit(hot_share).cast("decimal(10,6)"))
+    return out if hot_share is None else out.filter(F.col("n") >= F.col("total") * F.lit(hot_share).cast("decimal(16,12)"))
 
 
 def once_per(df: DataFrame, ids: list[str], value: str) -> DataFrame:

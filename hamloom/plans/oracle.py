@@ -146,6 +146,14 @@ jac AS (SELECT a, b, coalesce(shared, 0) AS shared, coalesce(shared, 0) / (sa.n
 cl AS (SELECT a, b, shared, CASE WHEN same THEN 1.0 ELSE j END AS jaccard, CASE WHEN same THEN 'exact_body' WHEN j >= 0.5 THEN 'possible_similar' WHEN j < 0.1 THEN 'low_text_overlap' ELSE 'uncertain' END AS class FROM jac)"""
 
 
+#: CTEs that end in sim (a, b, shared, jaccard): all pairs of different texts that share a run of words, at 0.5 or more.
+_SIMILAR_TEXTS = """once AS (SELECT min(doc_id) AS doc, count(*) AS copies, list_transform(regexp_extract_all(any_value(text), '[0-9A-Za-z]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+sh AS (SELECT DISTINCT doc, hash(f) AS h FROM (SELECT doc, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4])) AS f FROM once WHERE len(w) >= 5)),
+sz AS (SELECT doc, count(*) AS n FROM sh GROUP BY doc),
+cm AS (SELECT x.doc AS a, y.doc AS b, count(*) AS shared FROM sh x JOIN sh y ON x.h = y.h AND x.doc < y.doc GROUP BY ALL),
+sim AS (SELECT a, b, shared, shared / (p.n + q.n - shared) AS jaccard FROM cm JOIN sz p ON p.doc = a JOIN sz q ON q.doc = b WHERE shared / (p.n + q.n - shared) >= 0.5)"""
+
+
 def _first_match() -> str:
     """CTEs that end in fm: the first acceptable record in the weight band of every distinct arriving tag."""
     t = DELTA
@@ -263,6 +271,9 @@ SELECT strategy AS scheme, run_id AS threshold, grp AS "group", count(*) AS samp
         "shingle_candidates": f"WITH {_similar()} SELECT a, b FROM prs",
         "jaccard_classes": f"WITH {_similar()} SELECT a, b, shared, round(jaccard, 9) AS jaccard, class FROM cl",
         "similarity_statistics": f"WITH {_similar()} SELECT class, count(*) AS pairs, round(avg(jaccard), 6) AS mean_jaccard FROM cl GROUP BY class",
+        "similar_texts": f"WITH {_SIMILAR_TEXTS} SELECT a, b, x.copies AS copies_a, y.copies AS copies_b, shared, round(jaccard, 9) AS jaccard FROM sim JOIN once x ON x.doc = a JOIN once y ON y.doc = b",
+        "similar_doc_classes": f"""WITH {_SIMILAR_TEXTS}, p AS (SELECT a AS doc FROM sim UNION SELECT b FROM sim)
+SELECT CASE WHEN copies > 1 THEN 'exact_body_exists' WHEN doc IN (SELECT doc FROM p) THEN 'possible_similar' ELSE 'none' END AS class, sum(copies)::BIGINT AS documents FROM once GROUP BY ALL""",
         "doc_classes": f"WITH {_similar()}, p AS (SELECT a AS doc FROM cl WHERE class = 'possible_similar' UNION SELECT b FROM cl WHERE class = 'possible_similar'), n AS (SELECT doc, count(*) OVER (PARTITION BY digest) AS n FROM wd) SELECT CASE WHEN n > 1 THEN 'exact_body_exists' WHEN doc IN (SELECT doc FROM p) THEN 'possible_similar' ELSE 'none' END AS class, count(*) AS documents FROM n GROUP BY ALL",
         "greedy_dedup": f"WITH {_greedy()} SELECT doc_id::VARCHAR AS id, rid::VARCHAR AS rid, distance, stored FROM asg",
         "user_refs": f"WITH {_greedy()} SELECT mailbox AS uid, rid::VARCHAR AS rid, min(doc_id) AS created FROM asg JOIN documents USING (doc_id) GROUP BY ALL",

@@ -302,8 +302,7 @@ def scale_comparison(spark, sf):
     m = measured(spark, sf)
     runs = m.select("run_id").distinct()
     middle = runs.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY run_id)").alias("x"))
-    late = F.col("run_id") > F.col("x")
-    m = m.crossJoin(F.broadcast(middle))  # one row
+    late = F.col("run_id") > middle.scalar()
     return stats.scale_comparison(_run_summary(m.filter(late)), _run_summary(m.filter(~late)), ["strategy", "type"])
 
 

@@ -65,7 +65,23 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext._conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/hamloom-{uuid.uuid4().hex}"
+    home = f"{base.rstrip('/')}/hamloom-{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(clean_up, spark, home)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
+#: The folders of this process's applications below the shared folder.
+_HOMES: set[str] = set()
+
+
+def clean_up(spark: SparkSession, home: str) -> None:
+    """Delete an application's intermediate tables; nothing happens if its session is gone."""
+    try:
+        drop_dir(spark, home)
+    except Exception:  # the session or its JVM has ended before
+        pass
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

@@ -156,6 +156,12 @@ def test_key_shares(spark):
     assert sorted(map(tuple, once_per(twice, ["i"], "v").collect())) == [(1, "x"), (2, None)]
 
 
+def test_rare_keys_have_a_share(spark):
+    df = spark.range(2_000_000).selectExpr("CASE WHEN id < 3 THEN id ELSE 9 END AS k")
+    assert {r["k"] for r in key_shares(df, "k", 1.2e-6).collect()} == {9}
+    assert {r["k"] for r in key_shares(df, "k", 4e-7).collect()} == {0, 1, 2, 9}
+
+
 def test_percentile_definitions(spark):
     df = spark.createDataFrame([("g", v) for v in (100, 1, 50, 95, 99)], "g string, v long")
     r = stats.tail_summary(df, ["g"], "v").first()

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-CORE = ["text_tags", "radius_exact", "radius_counters", "first_match", "stratified_sample", "summary_grouping_sets", "jaccard_classes", "greedy_dedup", "p5_found"]
+CORE = ["text_tags", "radius_exact", "radius_counters", "first_match", "stratified_sample", "summary_grouping_sets", "jaccard_classes", "greedy_dedup", "p5_found", "segment_postings_d3", "radius_counters_d1", "global_min", "candidate_records", "strategy_equivalence", "boundary_flips", "split_integrity", "similar_texts", "random_pairs", "video_tags", "secret_shares"]
 
 
 def plain(rows, names):
