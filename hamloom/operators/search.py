@@ -6,8 +6,11 @@ number of records is carried along, and counters are multiplied. Results are pai
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -161,7 +164,7 @@ def global_min(records: DataFrame, queries: DataFrame, threshold: int = 6, block
 
     Every query counts as examining all records, 256 bits each; without records the distance is 257. Queries with a
     record within NEAR bits are settled by the inverted index; only the others go past all distinct tags, in broadcast blocks of
-    checked size, each task keeping the minimum per query tag.
+    checked size, each task keeping the minimum per query tag (nearest_in).
     """
     r = materialise(with_words(records.filter("tag is not null").select("tag").distinct()))
     total = records.filter("tag is not null").select(F.count(F.lit(1))).scalar()
@@ -173,9 +176,8 @@ def global_min(records: DataFrame, queries: DataFrame, threshold: int = 6, block
     best = [near.select("tag", F.col("d").cast("int").alias("d"))]
     wide = widen(r)
     for part in blocks_of(rest, block):
-        q = F.broadcast(with_words(part, prefix="q_").withColumnRenamed("tag", "query_tag"))
         # a scan by definition: every record is compared with every query of the block
-        best.append(wide.crossJoin(q).groupBy(F.col("query_tag").alias("tag")).agg(F.min(hamming(words_of(), words_of("q_"))).cast("int").alias("d")))
+        best.append(nearest_in(wide, part).groupBy("tag").agg(F.min("d").alias("d")))
     found = reduce(DataFrame.unionByName, best)
     out = queries.filter("tag is not null").select("query_id", "tag").join(found, "tag", "left")
     d = F.coalesce("d", F.lit(257)).cast("int")
@@ -186,6 +188,36 @@ def global_min(records: DataFrame, queries: DataFrame, threshold: int = 6, block
 NEAR = 6
 
 
+def nearest_in(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """(tag, d int) by every task of records (WORDS): the smallest distance of each query (tag) to the task's records.
+
+    queries are a block of counted size that is sent to all tasks, of tags with a distance of at least 1 to all records. A query
+    passes a batch of records in a few vector operations, and no row is made for a pair.
+    """
+    asked = with_words(queries.select("tag")).toArrow()
+    sent = records.sparkSession.sparkContext.broadcast((asked["tag"].to_pylist(), np.stack([asked[w].to_numpy() for w in WORDS], 1).view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags, asked = sent.value
+        best, met = np.full(len(tags), 255, np.uint8), False
+        for b in batches:
+            if not b.num_rows or not tags:
+                continue
+            met = True
+            own = [b[w].to_numpy().view(np.uint64) for w in WORDS]
+            bits, one, sums = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint8), np.empty(b.num_rows, np.uint8)
+            for k, words in enumerate(asked):
+                np.bitwise_count(np.bitwise_xor(own[0], words[0], out=bits), out=sums)
+                for i in (1, 2, 3):
+                    np.add(sums, np.bitwise_count(np.bitwise_xor(own[i], words[i], out=bits), out=one), out=sums)
+                # 1 to 256 as 0 to 255, which a byte holds
+                best[k] = min(best[k], np.subtract(sums, 1, out=sums).min())
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(best.astype(np.int32) + 1)], names=["tag", "d"])
+
+    return records.select(*WORDS).mapInArrow(run, "tag string, d int")
+
+
 def first_match(records: DataFrame, queries: DataFrame, threshold: int = 6) -> DataFrame:
     """(query_id, best_distance, matched, records_examined, bits_compared): the first record within the threshold among those
     whose weight differs by no more, in order of (weight, record_id).
