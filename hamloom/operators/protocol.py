@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,8 @@ def _keys(r: bytes, rid: str, kind: str, tag: bytes, helper: bytes) -> tuple[byt
     return q, crypto.hkdf_expand(q, (PROOF + record_hash(rid, kind, tag, helper).hex()).encode(), 32)
 
 
-def first_upload(files: DataFrame, seed: str) -> DataFrame:
-    """Encrypted representatives of files (rid, type, content binary).
+def first_upload(files: DataFrame, seed: str, keep: bool = False) -> DataFrame:
+    """Encrypted representatives of files (rid, type, content binary); `keep` keeps the content beside them.
 
     Adds tag, helper, verification key, nonces, the file encrypted under a fresh key (cipher) and that key under one
     derived from the content's recovery representation (wrapped); both bind the record's other fields. Ciphers run in the JVM.
@@ -59,7 +60,7 @@ def first_upload(files: DataFrame, seed: str) -> DataFrame:
 
     rows = files.select("rid", "type", "content").mapInPandas(make, T.StructType([*STORED.fields, T.StructField("content", T.BinaryType())]))
     gcm = lambda x, key, iv: F.aes_encrypt(x, key, F.lit("GCM"), F.lit("DEFAULT"), iv, F.col("aad"))
-    return rows.select("rid", "type", "tag", "helper", "vk", "nfile", "nwrap", "aad", gcm(F.col("content"), F.col("filekey"), F.col("nfile")).alias("cipher"), gcm(F.col("filekey"), F.col("wrapkey"), F.col("nwrap")).alias("wrapped"))
+    return rows.select("rid", "type", "tag", "helper", "vk", "nfile", "nwrap", "aad", gcm(F.col("content"), F.col("filekey"), F.col("nfile")).alias("cipher"), gcm(F.col("filekey"), F.col("wrapkey"), F.col("nwrap")).alias("wrapped"), *(["content"] if keep else []))
 
 
 def challenge_message(uid: str, rid: str, kind: str, tag: bytes, helper: bytes, query_tag: bytes, token: bytes) -> bytes:
@@ -73,10 +74,12 @@ def prove(claims: DataFrame) -> DataFrame:
     signed and the signature checked. proven is false where the content is too far away.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
+    columns = ("uid", "content", "token", "rid", "type", "tag", "helper", "vk", "aad")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             proven, keys = [], []
-            for uid, content, token, rid, kind, tag, helper, vk, aad in zip(*(df[c] for c in ("uid", "content", "token", "rid", "type", "tag", "helper", "vk", "aad")), strict=True):
+            for uid, content, token, rid, kind, tag, helper, vk, aad in zip(*(b[c].to_pylist() for c in columns), strict=True):
                 r = crypto.extract_again(simhash(content, RECOVERY_DOMAIN), helper)
                 q, proof = _keys(r, rid, kind, tag, helper) if r is not None else (b"", b"")
                 ok = r is not None and crypto.public_key(proof) == vk
@@ -85,9 +88,9 @@ def prove(claims: DataFrame) -> DataFrame:
                     ok = crypto.verify(vk, m, crypto.sign(proof, m))
                 proven.append(ok)
                 keys.append(crypto.hkdf_expand(q, (WRAP + hashlib.sha256(aad).hexdigest()).encode(), 32) if ok else None)
-            yield df.assign(proven=proven, wrapkey=keys)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(proven, pa.bool_()), pa.array(keys, pa.binary())], names=[*b.schema.names, "proven", "wrapkey"])
 
-    return claims.mapInPandas(run, T.StructType([*claims.schema.fields, T.StructField("proven", T.BooleanType()), T.StructField("wrapkey", T.BinaryType())]))
+    return claims.mapInArrow(run, T.StructType([*claims.schema.fields, T.StructField("proven", T.BooleanType()), T.StructField("wrapkey", T.BinaryType())]))
 
 
 def recover(proven: DataFrame, spec: str = "default=6") -> DataFrame:

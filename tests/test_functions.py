@@ -215,3 +215,17 @@ def test_media_tags():
         media.video_tag([])
     assert np.allclose(media.area_resize(np.ones((7, 200))), 1)
     assert media.as_image(np.arange(12)).shape == (3, 4) and media.as_image(np.arange(7)).shape == (1, 7) and media.as_image(np.arange(0)).shape == (1, 1)
+
+
+def test_signatures_by_library_and_by_integers_are_the_same():
+    """Both ways accept and refuse the same, malformed keys and signatures included."""
+    rnd = random.Random(4)
+    for n in range(12):
+        seed, m = rnd.randbytes(32), rnd.randbytes(n)
+        pk, s = crypto._public_key(seed), crypto._sign(seed, m)
+        assert (crypto.public_key(seed), crypto.sign(seed, m)) == (pk, s)
+        a, base = crypto._secret(seed)[0], crypto._base()
+        assert crypto._pack(crypto._times(a, base)) == pk
+        bad = [(pk, m, s), (pk, m + b"x", s), (pk, m, s[:32] + (int.from_bytes(s[32:], "little") + crypto.ORDER).to_bytes(32, "little")), (pk, m, (crypto.P25519 + 1).to_bytes(32, "little") + s[32:])]
+        bad += [(k.to_bytes(32, "little"), m, s) for k in (0, 1, 1 | 1 << 255, crypto.P25519 - 1, crypto.P25519, crypto.P25519 + 1, 2)] + [(pk[:31], m, s), (pk, m, s[:63])]
+        assert [crypto.verify(*x) for x in bad] == [crypto._verify(*x) for x in bad] == [True] + [False] * (len(bad) - 1)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hamloom.plans import registry
 from hamloom.functions import media
 from hamloom.operators import greedy, protocol, search, similarity, stats
 from hamloom.operators.index import TagIndex, WeightBlocks
@@ -181,3 +182,12 @@ def test_disagreements_are_named(spark):
 def test_self_test_and_benchmark(spark):
     assert all(runs.self_test(spark).values())
     assert set(runs.benchmark(1)) == {"tag", "extract", "recover", "sign", "verify", "convergent", "transfer"}
+
+
+def test_ownership_round_trip_shuffles_no_text_and_repeats_count_once_each(spark, tmp_path):
+    """Documents and ciphers stay in their tasks; a doc_id of two rows gives two claims of either kind, as in SQL."""
+    docs = [(1, "alpha beta gamma delta epsilon"), (2, "one two three"), (2, "four five six seven"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = registry.ownership_round_trip(spark, str(tmp_path))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == [("other", 3, 0, 0), ("owner", 3, 3, 3)]
