@@ -27,3 +27,14 @@ def test_candidates_are_ranked_once_by_tag_and_not_shuffled(spark):
         want += [(a["query_id"], "text", x, d, k) for k, (d, x) in enumerate(near, 1)]
     assert sorted(map(tuple, made.collect())) == sorted(want) == sorted(map(tuple, search.candidates(r, q, block=7).collect()))
     assert search.candidates(r, q.filter("query_id = 'z'")).count() == 0
+
+
+def test_radius_exact_shuffles_words_and_no_spelled_tags(spark):
+    """Tags with leading zeros and set first bits in their words come out as they went in."""
+    tags = ["0" * 64, "0" * 16 + "f" * 16 + "8" + "0" * 31, "f" * 48 + "0" * 15 + "1"]
+    r = spark.createDataFrame([("text", t) for t in tags], "type string, tag string")
+    made = search.radius_exact(r, r)
+    joined = made._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    below = [x for x in joined.splitlines() if "Project [" in x]
+    assert below and "tag#" not in below[0]
+    assert sorted((x["query_tag"], x["tag"], x["distance"]) for x in made.collect()) == sorted((t, t, 0) for t in tags)
